@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, quality, secrets, simhash, vectors
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op5_secret_scan": secrets.query,
+    "op6_simhash": simhash.query,
     "op9_mixing": mixing.query,
+    "op10_exact_topk": vectors.query,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality.SQL,
     "op9_mixing": mixing.SQL,
+    "op10_exact_topk": vectors.SQL,
 }
