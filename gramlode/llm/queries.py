@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, secrets, simhash, vectors
+from . import mixing, pii, quality, secrets, simhash, vectors
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op5_secret_scan": secrets.query,
     "op6_simhash": simhash.query,
+    "op8_pii": pii.query,
     "op9_mixing": mixing.query,
     "op10_exact_topk": vectors.query,
 }
