@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality, secrets, simhash, vectors
+from . import mixing, pii, quality, secrets, simhash, toxicity, vectors
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op2_toxicity": toxicity.query,
     "op5_secret_scan": secrets.query,
     "op6_simhash": simhash.query,
     "op8_pii": pii.query,
