@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality, secrets, simhash, toxicity, vectors
+from . import mixing, pii, quality, secrets, separators, simhash, tokenfile, toxicity, vectors
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_toxicity": toxicity.query,
+    "op4_token_files": tokenfile.query,
     "op5_secret_scan": secrets.query,
     "op6_simhash": simhash.query,
+    "op7_token_counts": separators.query,
     "op8_pii": pii.query,
     "op9_mixing": mixing.query,
     "op10_exact_topk": vectors.query,
