@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality, secrets, separators, simhash, tokenfile, toxicity, vectors
+from . import mixing, pieces, pii, quality, secrets, separators, simhash, tokenfile, toxicity, vectors
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_toxicity": toxicity.query,
+    "op3_sentencepiece": pieces.query,
     "op4_token_files": tokenfile.query,
     "op5_secret_scan": secrets.query,
     "op6_simhash": simhash.query,
