@@ -93,12 +93,16 @@ def gray_rank(x: Column) -> Column:
 
 def buckets(spark: SparkSession, distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
     """mask, pat, fp: every fingerprint in each of its buckets; a bucket holds limit rows at most (or has few free bits)."""
-    masks, rows, done = [0], distinct.select(F.lit(0).cast("long").alias("mask"), "fp"), []
+    masks, rows, done = [0], distinct.select("fp"), []
     while True:
         split = [(signed(m), signed(c)) for m in masks for c in thirds(m)]
+        if masks == [0]:
+            rows = rows.select("fp", F.explode(F.array(*[F.lit(c).cast("long") for _, c in split])).alias("child"))
+        else:
+            step = F.broadcast(spark.createDataFrame(split, "mask long, child long"))  # three rows for each mask of this level
+            rows = rows.join(step, "mask").select("fp", "child").distinct()
         masks = sorted({c for m in masks for c in thirds(m)})
-        step = F.broadcast(spark.createDataFrame(split, "mask long, child long"))  # three rows for each mask of this level
-        rows = rows.join(step, "mask").select(F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("pat"), "fp").distinct()
+        rows = rows.select(F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("pat"), "fp")
         if 64 - min(m.bit_count() for m in masks) <= limit.bit_length() - 1:
             done.append(rows)
             break
@@ -201,6 +205,37 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, li
     return b.select("mask", "pat", "fp").mapInArrow(_search(distance), "u bigint, v bigint")
 
 
+def _named(spark: SparkSession, f: DataFrame) -> DataFrame:
+    """f: doc_id, fp and further columns. f with root and component_id."""
+    distinct = cut(spark, f.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    roots = components(spark, links(spark, distinct.select("fp")))
+    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = cut(spark, named)
+    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    return f.join(named.select("fp", "root").join(lows, "root"), "fp")
+
+
+def representatives(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text and others. One row of each component: the smallest doc_id (a null only among nulls).
+
+    Only ids and hashes of texts are grouped; texts move once, in the join that drops the other rows. Rows that share
+    id and text with a chosen row are told apart only where there are any.
+    """
+    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
+    f = cut(spark, fingerprints(keyed, ["doc_id", "_th"]))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")
+    chosen = _named(spark, f).groupBy("root").agg(F.min(own).alias("k"))
+    chosen = cut(spark, chosen.select(F.col("k.doc_id").alias("_id"), F.col("k._th").alias("_h")))
+    same = lambda a, b: F.col("doc_id").eqNullSafe(F.col(a)) & (F.col("_th") == F.col(b))
+    kept = keyed.join(chosen, same("_id", "_h"), "left_semi")
+    again = cut(spark, f.groupBy("doc_id", "_th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id2"), F.col("_th").alias("_h2")))
+    if again.isEmpty():
+        return kept.drop("_th")
+    again = checked(again)
+    one = kept.join(again, same("_id2", "_h2"), "left_semi").dropDuplicates(["doc_id", "_th"])
+    return kept.join(again, same("_id2", "_h2"), "left_anti").unionByName(one).drop("_th")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs: doc_id and text (others are ignored). For each row: doc_id, fp, root, component_id.
 
@@ -209,12 +244,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, text_col: str = "text") ->
     alone has a null component_id. Repeated rows stay; an empty table gives none.
     """
     f = cut(spark, fingerprints(docs, ["doc_id"], text_col))
-    distinct = cut(spark, f.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(spark, links(spark, distinct.select("fp")))
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = cut(spark, named)
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return f.join(named.select("fp", "root").join(lows, "root"), "fp").select("doc_id", "fp", "root", "component_id")
+    return _named(spark, f).select("doc_id", "fp", "root", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
