@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 Texts are split into words where no piece of the vocabulary can cross: before each word sign that follows another
-character. Every distinct word is encoded once: its substrings of bounded length are exploded and joined to the piece
+character, and between letters and other characters if no piece holds both. Every distinct word is encoded once: its substrings of bounded length are exploded and joined to the piece
 table by equality, the edges found are grouped by word (the distinct words are already dealt by word, so without a
 shuffle), and a higher-order aggregate folds the lattice. The vocabulary is a byte-pair model, so the fold is the
 merge order (the best-ranked edge over two neighbouring pieces, the left one first) and not the Viterbi sum, whose
@@ -33,6 +33,8 @@ MODEL = "piece_bpe_32k.model"
 SIGN = "▁"
 #: Most characters of a word that the fold takes; most words of the frequent table (about 25 bytes each).
 FOLD, FREQUENT = 60, 8_000_000
+#: Words of a part whose lattices are grouped at once.
+PART = 20_000
 
 
 @lru_cache(maxsize=2)
@@ -58,48 +60,71 @@ def byte_ids(model: str) -> tuple[int, ...]:
     return tuple(sp.piece_to_id(f"<0x{b:02X}>") for b in range(256))
 
 
-def text_words(text: Column) -> Column:
-    """Words of a text that is not null, blanks as word signs, one sign put before the text."""
+@lru_cache(maxsize=2)
+def letters_apart(model: str) -> bool:
+    """True if no piece has a letter or mark beside another character, but for word signs before it."""
+    import unicodedata
+
+    kind = lambda c: unicodedata.category(c)[0] in "LM"
+    return not any(kind(a) != kind(b) and a != SIGN or b == SIGN != a for p in pieces(model) for a, b in zip(p, p[1:], strict=False))
+
+
+def text_words(text: Column, model: str = MODEL) -> Column:
+    """Words of a text that is not null, blanks as word signs, one sign put before the text.
+
+    A word is a run of word signs and what follows it; where the vocabulary keeps letters and other characters apart,
+    these are words of their own too.
+    """
+    word = rf"{SIGN}*[\p{{L}}\p{{M}}]+|{SIGN}*[^\p{{L}}\p{{M}}{SIGN}]+|{SIGN}+" if letters_apart(model) else f"{SIGN}+[^{SIGN}]*"
     signed = F.concat(F.lit(SIGN), F.replace(text, F.lit(" "), F.lit(SIGN)))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(signed, F.lit(f"{SIGN}+[^{SIGN}]*"), F.lit(0)))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(signed, F.lit(word), F.lit(0)))
 
 
 def lattice(spark: SparkSession, words: DataFrame, model: str = MODEL) -> DataFrame:
     """words: w (distinct, FOLD characters at most), n. w, n, edges: array<struct<rank, i, j, id>>, all pieces in the word by place.
 
-    Dealt by word once: explode, broadcast join and grouping keep that dealing. The word sign is itself a piece and
-    starts every word, so no word is without an edge.
+    Dealt by word once, in parts of so many words that the edges of a part are grouped in memory: explode, broadcast
+    join and grouping keep that dealing. Words without an edge are not returned.
     """
     known = pieces(model)
-    if SIGN not in known:
-        raise ValueError("the word sign is no piece of the vocabulary")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words.count() // PART)
     longest = max(map(len, known))
     p = F.broadcast(spark.createDataFrame([(k, i, r) for k, (i, r) in known.items()], "p string, id int, rank int"))  # the fixed vocabulary
     size = F.length("w")
     spans = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - i + 1)), lambda k: F.struct((i - 1).alias("i"), (i - 1 + k).alias("j"), F.substr(F.col("w"), i, k).alias("p")))))
-    e = words.repartition("w").select("w", "n", F.explode(spans).alias("s")).select("w", "n", "s.i", "s.j", "s.p").join(p, "p")
+    e = words.repartition(parts, "w").select("w", "n", F.explode(spans).alias("s")).select("w", "n", "s.i", "s.j", "s.p").join(p, "p")
     return e.groupBy("w", "n").agg(F.collect_list(F.struct("rank", "i", "j", "id")).alias("edges"))
 
 
 def fold(w: Column, edges: Column, model: str = MODEL) -> Column:
-    """Ids of a word from its edges. The state is a bit mask of the places where pieces meet; each step clears one."""
+    """Ids of a word from its edges.
+
+    The state is a bit mask of the places where pieces meet, and the edges that may still be taken: both ends stand
+    and there is a place between. Each step takes the best edge with one place between and clears that place.
+    """
     one = F.lit(1).cast("long")
     bit = lambda x: F.call_function("shiftleft", one, x)
     n = F.length(w)
-    wide = F.filter(edges, lambda e: e["j"] - e["i"] > 1)
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    wide = F.transform(
+        F.filter(edges, lambda e: e["j"] - e["i"] > 1),
+        lambda e: F.struct(e["rank"].alias("rank"), e["i"].alias("i"), bit(e["i"]).bitwiseOR(bit(e["j"])).alias("ends"), (bit(e["j"]) - bit(e["i"] + 1)).alias("inner")),
+    )
+
+    def step(s: Column, _: Column) -> Column:
+        best = F.array_min(F.filter(s["live"], lambda e: F.bit_count(s["cuts"].bitwiseAND(e["inner"])) == 1))
+
+        def taken(b: Column) -> Column:
+            def after(cuts: Column) -> Column:
+                live = F.filter(s["live"], lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (cuts.bitwiseAND(e["inner"]) != 0) & b.isNotNull())
+                return F.struct(cuts.alias("cuts"), live.alias("live"))
 
-    def step(cuts: Column, _: Column) -> Column:
-        def inner(e: Column) -> Column:
-            return cuts.bitwiseAND(bit(e["j"]) - bit(e["i"] + 1))
+            return let(F.coalesce(s["cuts"].bitwiseAND(F.bitwise_not(b["inner"])), s["cuts"]), after)
 
-        # both ends still stand, and exactly one place between them
-        fits = lambda e: (cuts.bitwiseAND(bit(e["i"])) != 0) & (cuts.bitwiseAND(bit(e["j"])) != 0) & (F.bit_count(inner(e)) == 1)
-        best = F.array_min(F.filter(wide, fits))
-        return F.coalesce(F.transform(F.array(best), lambda e: cuts.bitwiseAND(F.bitwise_not(inner(e))))[0], cuts)
+        return let(best, taken)
 
-    start = bit(n + 1) - 1
     steps = F.when(F.size(wide) > 0, F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    cuts = F.aggregate(steps, start, step)
+    cuts = F.aggregate(steps, F.struct((bit(n + 1) - 1).alias("cuts"), wide.alias("live")), step, lambda s: s["cuts"])
     byte0 = byte_ids(model)[0]
 
     def emit(c: Column) -> Column:
@@ -158,7 +183,10 @@ def dictionary(spark: SparkSession, words: DataFrame, model: str = MODEL) -> Dat
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=["w", "n", "ids"])
 
     short, long = words.where(F.length("w") <= FOLD), words.where(F.length("w") > FOLD)
-    folded = lattice(spark, short, model).select("w", "n", fold(F.col("w"), F.col("edges"), model).alias("ids"))
+    singles = "".join(p for p in pieces(model) if len(p) == 1)
+    edged = F.translate("w", singles, "") != F.col("w")  # some character is a piece; bytes alone need no lattice
+    folded = lattice(spark, short.where(edged), model).select("w", "n", fold(F.col("w"), F.col("edges"), model).alias("ids"))
+    long = long.union(short.where(~edged))
     return folded.union(long.mapInArrow(heap, "w string, n long, ids array<int>"))
 
 
@@ -206,7 +234,7 @@ def encode(spark: SparkSession, docs: DataFrame, keep: list[str], text_col: str
     """
     if processor(model).get_piece_size() > 1 << 16:
         raise ValueError("the frequent table holds ids of 16 bits")
-    d = docs.select(*keep, text_words(F.coalesce(F.col(text_col), F.lit(""))).alias("_w"))
+    d = docs.select(*keep, text_words(F.coalesce(F.col(text_col), F.lit("")), model).alias("_w"))
     words = stored(spark, d.select(F.explode("_w").alias("w")).groupBy("w").agg(F.count("*").alias("n")), "piece-counts")
     known = stored(spark, dictionary(spark, words, model).withColumn("h", F.xxhash64("w")), "piece-words")
     total = known.count()
