@@ -8,11 +8,13 @@ other in ascending order of document id. One short document is read with two sma
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -27,31 +29,101 @@ MAGIC = b"GRAMTOK1"
 HEAD = len(MAGIC) + 32
 #: Documents and their greatest length that the dictionary is trained on; its size; level of compression.
 SAMPLE, SAMPLE_CHARS, DICTIONARY, LEVEL = 400, 8192, 64 << 10, 3
-MAX_CACHE = 250_000
+MAX_CACHE = 600_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level spelling: printable Latin-1 bytes are themselves, the others get letters from U+0100 on, in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = byte_letters()
 
 
 class Encoder:
     """Ids of texts by the tokenizers library, as bytes.
 
     The vocabulary's rules never join characters across white space, so the library encodes each distinct piece
-    between blanks and line ends once, and texts are put together from remembered pieces (bounded in number).
+    between blanks and line ends once, many at a time with a special token between them, and texts are put together
+    from remembered pieces. A last comma or full stop behind a letter is always a run of its own, and ASCII is
+    lower-cased by the rules anyway, so pieces share the ids of their stems. On lower-case letters the normalizer does
+    nothing, and a second instance of the tokenizer leaves it and the byte-level spelling, done here, out. Beyond a bound only the pieces of
+    recent calls are remembered.
     """
 
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.library = Tokenizer.from_file(vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary))
+        path = vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary)
+        self.library, self.lean = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.lean.normalizer, self.lean.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.known: dict[str, bytes] = {}
+        self.recent: list[set[str]] = []
+        added = self.library.get_added_tokens_decoder()
+        self.mark_id, self.mark = next(((i, t.content) for i, t in added.items() if t.special), (-1, ""))
+        self.first = {t.content[:1] for t in added.values()}
+
+    def _encode(self, library, stems: list[str], spelled: list[str] | None = None) -> None:
+        """Learns pieces without added tokens in them, in lists parted by a special token; spelled: as the library gets them."""
+        cut = lambda x: [x[i : i + 256] for i in range(0, len(x), 256)]
+        lists, texts = cut(stems), [self.mark.join(x) for x in cut(spelled or stems)]
+        for ps, e in zip(lists, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark_id)
+            if len(cuts) != len(ps) - 1:
+                raise ValueError("the special token did not part the pieces")
+            raw = ids.tobytes()
+            ends = (4 * cuts).tolist()
+            self.known.update(zip(ps, map(raw.__getitem__, map(slice, [0, *(c + 4 for c in ends)], [*ends, len(raw)])), strict=True))
+
+    def _learn(self, new: list[str]) -> None:
+        known = self.known
+        plain = [p for p in new if p.isalpha() and p.islower() and (p.isascii() or is_normalized("NFC", p))] if self.mark else []
+        self._encode(self.lean, plain, [p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_LETTERS) for p in plain])
+        parts = []
+        for p in set(new).difference(plain):
+            tail = p[-1:]
+            if (tail == "," or tail == ".") and p[-2:-1].isalpha():
+                q = p[:-1]
+            else:
+                q, tail = p, ""
+            parts.append((p, q.lower() if q.isascii() else q, tail))
+        todo = {q for _, q, _ in parts}
+        todo.update(",.")
+        todo.difference_update(known)
+        if self.mark:
+            own = [q for q in todo if self.first.isdisjoint(q)]
+            self._encode(self.lean, [q for q in own if q.isascii() and q.isalpha()])
+            self._encode(self.library, [q for q in own if q not in known])
+        rest = [q for q in todo if q not in known]
+        for q, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[q] = np.array(e.ids, "<u4").tobytes()
+        for p, q, tail in parts:
+            known[p] = known[q] + known[tail] if tail else known[q]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Nothing here makes reference cycles; the collector would only walk the large dictionaries again and again."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._texts(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        used: set[str] = set()
+        for ps in pieces:
+            used.update(ps)
         if len(self.known) > MAX_CACHE:
-            self.known.clear()
-        new = list({p for ps in pieces for p in ps}.difference(self.known))
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
+            self.known = {p: self.known[p] for s in self.recent for p in s if p in self.known and len(p) <= 64}
+        self.recent = [*self.recent[-3:], used]
+        self._learn(list(used.difference(self.known)))
         get = self.known.__getitem__
         return [b"".join(map(get, ps)) for ps in pieces]
 
@@ -115,7 +187,7 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str = V
             f.write(MAGIC + digest)
             for b in batches:
                 ids = iter(b.column(0).to_pylist())
-                for g in groups(b.column(1)):
+                for g in groups(b.column(1), 4 << 20):
                     for x in enc.encode(g):
                         frame, doc = pack.compress(x + end), next(ids)
                         f.write(frame)
