@@ -93,7 +93,8 @@ def token_counts(spark: SparkSession, docs: DataFrame, folder: str | None = None
     """doc_id and n_tokens for each row of docs, counted in flat files that hold their ids. Repeated rows each count."""
     order = write_flat(spark, docs, folder or fresh_path(spark, "flat"))
     counts = count(spark, order.select("path").distinct())
-    return order.join(counts.hint("merge"), ["path", "ordinal"])  # either side grows with the documents.select("doc_id", "n_tokens")
+    # either side grows with the documents, so neither is broadcast
+    return order.join(counts.hint("merge"), ["path", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
