@@ -95,6 +95,23 @@ def test_personal_data(spark, odd, empty):
     assert pii.find(spark, empty, ["doc_id"]).isEmpty()
 
 
+def test_personal_data_that_the_patterns_miss(spark):
+    import random
+
+    rng = random.Random(3)
+    n = lambda k: str(rng.randrange(10 ** (k - 1), 10**k))
+    cards = []
+    while len(cards) < 40:
+        c = n(16)
+        if sum((2 * int(x) - 9 * (x > "4")) if i % 2 == 0 else int(x) for i, x in enumerate(c)) % 10 == 0:
+            cards.append(c)
+    rows = [f"mail me{i}.x@mail{n(1)}.example.com or +1 ({n(3)}) {n(3)}-{n(4)} at {n(2)}.{n(2)}.17.{n(2)} and {c} order {n(8)} of 2021-0{n(1)}-1{n(1)}" for i, c in enumerate(cards)]
+    odd = ["call (555) 123-4567 now", "ring 020 7946 0958 please", "write john.smith [at] example [dot] com today", "on 2021-03-04 it was 12.04.2013", "from 1990-1995 and 1 000 000 more"]
+    d = spark.createDataFrame(list(enumerate(odd + rows)), "doc_id int, text string")
+    got = {r.doc_id: [(x.kind, x.m) for x in r._spans] for r in pii.find(spark, d, ["doc_id"]).where(f"doc_id < {len(odd)}").collect()}
+    assert got == {0: [("number", "(555) 123-4567")], 1: [("number", "020 7946 0958")], 2: [("address", "john.smith [at] example [dot] com")], 3: [], 4: []}
+
+
 def test_simhash_components(spark, odd, empty):
     import xxhash
 
