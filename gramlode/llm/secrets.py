@@ -2,7 +2,8 @@
 
 A byte-pair vocabulary spends about one token on four characters of words, names and most identifiers, but one on two
 or fewer characters of random text. Strings of key characters are encoded with a tiktoken vocabulary; those with few
-characters per token are secrets, unless they are digests of a known length, UUIDs, or identifiers made of letters.
+characters per token are secrets, unless they are digests of a known length, UUIDs, or identifiers made of
+words. Parts between signs are tested on their own where the whole string is not exposed.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}")
 UUID = re.compile(r"[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
+PART = re.compile(r"[^+/_=-]+")
 KINDS = ("assign", "access", "hex", "random")
 
 Span = tuple[int, int, str]
@@ -57,19 +59,46 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def ordinary(s: str) -> bool:
-    """True for digests of a known length, UUIDs, and identifiers: strings without a digit, or words joined by signs."""
-    if UUID.fullmatch(s) or (len(s) in DIGEST_LENGTHS and DIGEST.fullmatch(s)):
+def tokens(s: str, enc) -> int:
+    """Whole strings are encoded, in pieces of a bounded length, as the encoder's time grows with a piece's square."""
+    return sum(len(enc.encode_ordinary(s[i : i + 512])) for i in range(0, len(s), 512))
+
+
+def plain(part: str, enc, ratio: float = RATIO) -> bool:
+    """True for a part of digits, for letters that the tokenizer shows as words, and for repeats of three letters or fewer.
+
+    Capitals are read as small letters.
+    """
+    if not part.isalpha():
+        return part.isdigit()
+    if len(set(part)) <= 3:
         return True
-    if not any(c.isdigit() for c in s) or s.isdigit():
+    n = tokens(part.lower() if part.isupper() else part, enc)
+    return n == 1 or len(part) > ratio * n
+
+
+def ordinary(s: str, enc, ratio: float = RATIO) -> bool:
+    """True for digests of a known length, UUIDs, and identifiers: words and numbers joined by signs."""
+    if UUID.fullmatch(s) or (len(s) in DIGEST_LENGTHS and DIGEST.fullmatch(s)):
         return True
-    parts = [p for p in re.split(r"[+/_=-]+", s) if p]
-    return all(p.isalpha() or p.isdigit() for p in parts)
+    return all(plain(p, enc, ratio) for p in PART.findall(s))
 
 
 def exposed(s: str, enc, ratio: float = RATIO) -> bool:
-    """Whole strings are encoded, in pieces of a bounded length, as the encoder's time grows with a piece's square."""
-    return not ordinary(s) and len(s) <= ratio * sum(len(enc.encode_ordinary(s[i : i + 512])) for i in range(0, len(s), 512))
+    return not ordinary(s, enc, ratio) and len(s) <= ratio * tokens(s, enc)
+
+
+def exposed_spans(s: str, enc, ratio: float = RATIO) -> list[tuple[int, int]]:
+    """Where a string of key characters is exposed: as a whole, else without plain parts at its ends, else in single parts."""
+    if ordinary(s, enc, ratio):
+        return []
+    parts = [m.span() for m in PART.finditer(s)]
+    odd = [(a, b) for a, b in parts if not plain(s[a:b], enc, ratio)]
+    core = (odd[0][0], odd[-1][1])
+    for a, b in ((0, len(s)), core):
+        if b - a >= LEAST and exposed(s[a:b], enc, ratio):
+            return [(a, b)]
+    return [(a, b) for a, b in odd if b - a >= LEAST and exposed(s[a:b], enc, ratio)]
 
 
 def random_spans(text: str, enc, taken: list[Span], ratio: float = RATIO) -> list[Span]:
@@ -77,8 +106,8 @@ def random_spans(text: str, enc, taken: list[Span], ratio: float = RATIO) -> lis
     out = []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if not any(a < e and s < b for a, b, _ in taken) and exposed(m.group(), enc, ratio):
-            out.append((s, e, "random"))
+        if not any(a < e and s < b for a, b, _ in taken):
+            out += [(s + a, s + b, "random") for a, b in exposed_spans(m.group(), enc, ratio)]
     return out
 
 

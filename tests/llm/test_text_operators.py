@@ -81,6 +81,16 @@ def test_secrets(spark, odd, empty):
     assert secrets.scan(empty, ["doc_id"]).isEmpty() and m.where("text is null").count() == odd.where("text is null").count()
 
 
+def test_random_letters_and_parts_are_exposed():
+    enc = secrets.encoding(secrets.VOCABULARY)
+    key = "qZ8pW3vX9mK2rT7yL4nBc5Hd"
+    for text, at in (("qZxpWbvXgmKhrTdyLcnB", 0), ("services/production/settings/application/configuration/" + key, 55)):
+        ((s, e, kind),) = secrets.find(text, enc)[1]
+        assert s <= at and e == len(text) and kind == "random"
+    for text in ("getElementsByClassNameInternal", "THIS_IS_A_LONG_CONSTANT", "/usr/local/share/applications/", "internationalization", "-" * 30):
+        assert secrets.find(text, enc)[1] == []
+
+
 def test_personal_data(spark, odd, empty):
     f = {r.doc_id: [(x.kind, x.m) for x in r._base] for r in pii.find(spark, odd, ["doc_id"]).collect()}
     assert f[400] == [("email", "me.34@mail7.example.com"), ("ip", "97.51.17.173"), ("card", "4952935900253052"), ("phone", "+1 (487) 555-7209")]
