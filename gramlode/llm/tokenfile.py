@@ -14,7 +14,6 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,9 @@ HEAD = len(MAGIC) + 32
 #: Documents and their greatest length that the dictionary is trained on; its size; level of compression.
 SAMPLE, SAMPLE_CHARS, DICTIONARY, LEVEL = 400, 8192, 64 << 10, 3
 MAX_CACHE = 600_000
+TAILS = (",", ".")
+#: Letters whose lower case is one letter of their own: Latin ones, without the dotted capital I.
+LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower().isalpha())
 
 
 def byte_letters() -> dict[int, str]:
@@ -46,11 +48,12 @@ class Encoder:
     """Ids of texts by the tokenizers library, as bytes.
 
     The vocabulary's rules never join characters across white space, so the library encodes each distinct piece
-    between blanks and line ends once, many at a time with a special token between them, and texts are put together
-    from remembered pieces. A last comma or full stop behind a letter is always a run of its own, and ASCII is
-    lower-cased by the rules anyway, so pieces share the ids of their stems. On lower-case letters the normalizer does
-    nothing, and a second instance of the tokenizer leaves it and the byte-level spelling, done here, out. Beyond a bound only the pieces of
-    recent calls are remembered.
+    between blanks and line ends once, and texts are put together from remembered pieces by Arrow. Letters that have a
+    simple lower case are normalized here (LETTERS names them) and spelled in bytes, so that a second instance of the
+    tokenizer, without normalizer and byte-level rule, takes them as bare words; every word ends in a piece with the
+    end-of-word mark, which parts them again. A last comma or full stop behind such a letter is a run of its own, so
+    pieces share the ids of their stems. All other pieces go to the library as they are, many at a time with a special
+    token between them. Beyond a bound only the pieces of recent calls are remembered.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -62,50 +65,62 @@ class Encoder:
         self.library, self.lean = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.lean.normalizer, self.lean.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.known: dict[str, bytes] = {}
-        self.recent: list[set[str]] = []
+        self.recent: list[list[str]] = []
         added = self.library.get_added_tokens_decoder()
         self.mark_id, self.mark = next(((i, t.content) for i, t in added.items() if t.special), (-1, ""))
         self.first = {t.content[:1] for t in added.values()}
-
-    def _encode(self, library, stems: list[str], spelled: list[str] | None = None) -> None:
-        """Learns pieces without added tokens in them, in lists parted by a special token; spelled: as the library gets them."""
-        cut = lambda x: [x[i : i + 256] for i in range(0, len(x), 256)]
-        lists, texts = cut(stems), [self.mark.join(x) for x in cut(spelled or stems)]
-        for ps, e in zip(lists, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(ps) - 1:
-                raise ValueError("the special token did not part the pieces")
-            raw = ids.tobytes()
-            ends = (4 * cuts).tolist()
-            self.known.update(zip(ps, map(raw.__getitem__, map(slice, [0, *(c + 4 for c in ends)], [*ends, len(raw)])), strict=True))
+        mark = self.library.model.end_of_word_suffix
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for p, i in vocab.items() if mark and p.endswith(mark)]] = True
+        self.parted = bool(self.ends.any())
+
+    def _split(self, names: list[str], ids: list[np.ndarray], last: np.ndarray, skip: int) -> None:
+        """Remembers names by the ids of all of them; last: where each one's ids end, skip: ids between two of them."""
+        if len(last) != len(names):
+            raise ValueError("the encoded pieces cannot be told apart")
+        raw = np.concatenate(ids).astype("<u4").tobytes() if ids else b""
+        ends = (4 * last).tolist()
+        self.known.update(zip(names, map(raw.__getitem__, map(slice, [0, *(e + 4 * skip for e in ends[:-1])], ends)), strict=True))
+
+    def _words(self, words: list[str], spelled: list[str]) -> None:
+        ids = [np.array(e.ids, "<u4") for e in self.lean.encode_batch_fast([" ".join(spelled[i : i + 512]) for i in range(0, len(spelled), 512)], add_special_tokens=False)]
+        self._split(words, ids, np.flatnonzero(self.ends[np.concatenate(ids)]) + 1 if ids else np.empty(0, int), 0)
+
+    def _others(self, pieces: list[str]) -> None:
+        if not self.mark:
+            return
+        for i in range(0, len(pieces), 256):
+            some = pieces[i : i + 256]
+            ids = np.array(self.library.encode(self.mark.join(some), add_special_tokens=False).ids, "<u4")
+            self._split(some, [ids], np.append(np.flatnonzero(ids == self.mark_id), len(ids)), 1)
 
     def _learn(self, new: list[str]) -> None:
         known = self.known
-        plain = [p for p in new if p.isalpha() and p.islower() and (p.isascii() or is_normalized("NFC", p))] if self.mark else []
-        self._encode(self.lean, plain, [p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_LETTERS) for p in plain])
-        parts = []
-        for p in set(new).difference(plain):
-            tail = p[-1:]
-            if (tail == "," or tail == ".") and p[-2:-1].isalpha():
-                q = p[:-1]
+        words, others, tails = {}, set(), []
+        for p in new:
+            q, tail = (p[:-1], p[-1]) if p[-1:] in TAILS and p[-2:-1] in LETTERS else (p, "")
+            if tail:
+                tails.append((p, q, tail))
+                if q in known:
+                    continue
+            if q.isalpha() and LETTERS.issuperset(q) and self.parted:
+                words[q] = q.lower()
             else:
-                q, tail = p, ""
-            parts.append((p, q.lower() if q.isascii() else q, tail))
-        todo = {q for _, q, _ in parts}
-        todo.update(",.")
-        todo.difference_update(known)
-        if self.mark:
-            own = [q for q in todo if self.first.isdisjoint(q)]
-            self._encode(self.lean, [q for q in own if q.isascii() and q.isalpha()])
-            self._encode(self.library, [q for q in own if q not in known])
-        rest = [q for q in todo if q not in known]
+                others.add(q)
+        if tails:
+            others.update(t for t in TAILS if t not in known)
+        low = sorted(set(words.values()) - known.keys())
+        self._words(low, [w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS) for w in low])
+        self._others([q for q in others if self.first.isdisjoint(q)])
+        rest = [q for q in others if q not in known]
         for q, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[q] = np.array(e.ids, "<u4").tobytes()
-        for p, q, tail in parts:
-            known[p] = known[q] + known[tail] if tail else known[q]
+        known.update(zip(words, map(known.__getitem__, words.values()), strict=True))
+        for p, q, tail in tails:
+            known[p] = known[q] + known[tail]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Nothing here makes reference cycles; the collector would only walk the large dictionaries again and again."""
         collecting = gc.isenabled()
         gc.disable()
@@ -115,34 +130,40 @@ class Encoder:
             if collecting:
                 gc.enable()
 
-    def _texts(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        used: set[str] = set()
-        for ps in pieces:
-            used.update(ps)
+    def _texts(self, texts: pa.Array) -> list[bytes]:
+        import pyarrow.compute as pc
+
+        pieces = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        coded = pieces.flatten().dictionary_encode()
+        used = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > MAX_CACHE:
             self.known = {p: self.known[p] for s in self.recent for p in s if p in self.known and len(p) <= 64}
         self.recent = [*self.recent[-3:], used]
-        self._learn(list(used.difference(self.known)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, ps)) for ps in pieces]
+        self._learn([p for p in used if p not in self.known])
+        ids = pa.array(list(map(self.known.__getitem__, used)), pa.large_binary()).take(coded.indices)
+        ends = np.append(0, np.cumsum(np.asarray(pc.binary_length(ids), np.int64)))
+        at = ends[np.asarray(pieces.offsets) - pieces.offsets[0].as_py()]
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [raw[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def groups(column: pa.Array, size: int = 1 << 20) -> Iterator[list[str]]:
-    """The texts of a column in lists of about so many characters; null is empty."""
-    held, n = [], 0
-    for x in column:
-        held.append(x.as_py() or "")
-        n += len(held[-1])
-        if n >= size:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+def groups(column: pa.Array, size: int = 8 << 20) -> Iterator[pa.Array]:
+    """A text column in slices of about so many bytes."""
+    import pyarrow.compute as pc
+
+    at = np.append(0, np.cumsum(np.asarray(pc.binary_length(column), np.int64)))
+    k = 0
+    while k < len(column):
+        to = max(k + 1, int(np.searchsorted(at, at[k] + size, "right")) - 1)
+        yield column.slice(k, to - k)
+        k = to
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, sample: int = SAMPLE) -> bytes:
-    """A dictionary from a bounded sample of short documents; empty if there are too few to train on."""
+    """A dictionary trained on a bounded sample of documents: short ones, and slices of long ones where those are few.
+
+    Where the sample is too small to train on, its ids themselves are the dictionary; without any text it is empty.
+    """
     import zstandard
 
     end = np.array([end_id], "<u4").tobytes()
@@ -153,16 +174,21 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, sample: int
             for g in groups(b.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array([x + end for x in enc.encode(g)], pa.binary())], names=["ids"])
 
-    some = docs.where(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
-    ids = [bytes(r.ids) for r in some.select("text").mapInArrow(run, "ids binary").collect()]  # sample rows of bounded length
+    sliced = docs.where("text <> ''").select("doc_id", F.length("text").alias("_n"), F.substr("text", F.lit(1), F.lit(SAMPLE_CHARS)).alias("text"))
+    some = sliced.orderBy(F.col("_n") > SAMPLE_CHARS, F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
+    ids = sorted(bytes(r.ids) for r in some.select("text").mapInArrow(run, "ids binary").collect())  # sample rows of bounded length
     try:
-        return zstandard.train_dictionary(DICTIONARY, sorted(ids)).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY, ids).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b""
+        return b"".join(ids)[-DICTIONARY:]
 
 
 def write(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> list[dict]:
-    """docs: doc_id, text (others are ignored). Writes shards in ascending doc_id order (null first; ties by text).
+    """docs: doc_id, text (columns of other names, whatever they are, are ignored). Writes shards in ascending doc_id
+    order (null first; ties by text).
+
+    A null or empty text is the end id alone, repeated rows are documents each, a text of any length is one frame, and
+    an empty table writes no shard with documents.
 
     Returns what the files hold, in order: path, docs, ids and start (ids before it) of each shard, and the path of
     the dictionary. One short row for each shard reaches the driver.
@@ -187,7 +213,7 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str = V
             f.write(MAGIC + digest)
             for b in batches:
                 ids = iter(b.column(0).to_pylist())
-                for g in groups(b.column(1), 4 << 20):
+                for g in groups(b.column(1)):
                     for x in enc.encode(g):
                         frame, doc = pack.compress(x + end), next(ids)
                         f.write(frame)
@@ -197,7 +223,8 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str = V
             f.write(np.array(index, "<i8").tobytes() + np.array([at, len(index), total], "<i8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([part_number()], pa.int32()), pa.array([name]), pa.array([len(index)]), pa.array([total])], names=["part", "path", "docs", "ids"])
 
-    sorted_rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    head = F.substr("text", F.lit(1), F.lit(32))  # parts the rows of one doc_id; in the order of their texts
+    sorted_rows = rows.repartitionByRange("doc_id", head).sortWithinPartitions("doc_id", "text")
     shards = sorted((r.asDict() for r in sorted_rows.mapInArrow(run, "part int, path string, docs long, ids long").collect()), key=lambda r: r["part"])
     start = 0
     for s in shards:
@@ -235,7 +262,10 @@ def fetch(path: str, dictionary: str, n: int) -> np.ndarray:
 
 
 def read(spark: SparkSession, shards: list[dict], with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and ids) of every document of the shards, from the files alone."""
+    """doc_id, start, n_tokens, ids_crc32 (and ids) of every document of the shards, from the files alone.
+
+    One row for each document written, null and repeated doc_ids too; no shards give no rows.
+    """
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     if not shards:
         return spark.createDataFrame([], kind)

@@ -182,6 +182,30 @@ def test_token_files_round_trip(spark, odd, empty):
     assert tokenfile.read(spark, tokenfile.write(spark, empty, fresh_path(spark, "t"))).isEmpty()
 
 
+def test_token_encoder_equals_the_library():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    signs = [*"abcXYZ,.'!<|>endoftext İıΣσςßẞǅéÉñǰ\u0301\u0307\u030cE 01२²\xad\t\r\x0b\x85\u3000漢字ʰªº😀ŉK", "<|endoftext|>", "'s", "'ll", "İ,", "İ."]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(25))) for _ in range(12_000)]
+    e = tokenfile.Encoder(tokenfile.VOCABULARY)
+    want = [np.array(e.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert e.encode(pa.array(texts)) == want and e.encode(pa.array(["İ,", ""])) == [want_of(e, "İ,"), b""]
+
+
+def want_of(e, text):
+    return np.array(e.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_token_files_of_long_documents_share_a_dictionary(spark):
+    d = spark.createDataFrame([(1, "some words again " * 3000), (1, "some words again " * 3000)], "doc_id long, text string")
+    shards = tokenfile.write(spark, d, fresh_path(spark, "t"))
+    assert tokenfile.opened(shards[0]["dictionary"])[0].get_file_info(shards[0]["dictionary"]).size > 0
+    assert tokenfile.read(spark, shards).count() == 2
+
+
 def test_separator_counts(spark, odd, empty):
     enc = secrets.encoding(separators.VOCABULARY)
     assert rows_of(separators.token_counts(spark, odd)) == Counter((r.doc_id, len(enc.encode_ordinary(r.text or ""))) for r in odd.collect())
