@@ -1,20 +1,25 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts are split into words where no piece of the vocabulary can cross: before each word sign that follows another
-character, and between letters and other characters if no piece holds both. Every distinct word is encoded once: its substrings of bounded length are exploded and joined to the piece
-table by equality, the edges found are grouped by word (the distinct words are already dealt by word, so without a
-shuffle), and a higher-order aggregate folds the lattice. The vocabulary is a byte-pair model, so the fold is the
-merge order (the best-ranked edge over two neighbouring pieces, the left one first) and not the Viterbi sum, whose
-best path differs from the library's ids. Words longer than a fold's bit mask take the same edges through a heap.
-
-Words of a text are matched to the dictionary by hash. The most frequent words, up to a fixed number, are a sorted
-table that every Python worker loads once; texts with any other word (or one of two words with equal hashes) are
-completed by a join on the word itself.
+Texts are cut into words where no piece of the vocabulary can cross: before a run of blanks (or word signs), and between
+ASCII signs and digits on one side and letters on the other. Every distinct word is encoded once: its substrings of
+bounded length are exploded and joined to the piece table by equality, the edges found are grouped by word, and a
+higher-order aggregate folds the lattice edge by edge, in the order of their ends.
+
+The vocabulary is a byte-pair model, whose ids are those of a merge order and not of the best sum of scores. The fold
+is a Viterbi fold all the same, with this path cost: 0 for two neighbouring pieces that the merges leave apart, and
+infinite for two that a merge would join across their border. Merges work locally, so a path costs 0 exactly if it is
+the merge order's result, and every place has one such path. Whether a merge joins two neighbours is read off the
+lattice itself: an edge over their border joins them if its halves occur on the way to the two pieces (as last part of
+the one, first part of the other) and it ranks before the merges that use those halves up. These limits are a fixed
+table of the vocabulary.
+
+Python workers cut texts into words by byte classes, without a copy, and match them to the dictionary by hash. The most
+frequent words, up to a fixed number, are a sorted table that every worker loads once. Other words (and those of equal
+hashes) are joined to the dictionary by the word itself, they alone, and a second pass encodes the texts that have them.
 """
 
 from __future__ import annotations
 
-import heapq
 import os
 import zlib
 from collections.abc import Iterator
@@ -28,13 +33,17 @@ from pyspark.sql import types as T
 
 from .common import fresh_path, stored, table
 from .files import opened
+from .tokenfile import groups
 
 MODEL = "piece_bpe_32k.model"
 SIGN = "▁"
-#: Most characters of a word that the fold takes; most words of the frequent table (about 25 bytes each).
-FOLD, FREQUENT = 60, 8_000_000
+#: Most characters of a word whose edges are grouped into one row (the same fold runs over longer ones in Python, where
+#: edges need not be held); most words of the frequent table (about 20 bytes each).
+FOLD, FREQUENT = 255, 8_000_000
 #: Words of a part whose lattices are grouped at once.
-PART = 20_000
+PART = 8_000
+#: A limit that no rank reaches.
+NEVER = (1 << 31) - 1
 
 
 @lru_cache(maxsize=2)
@@ -60,163 +69,261 @@ def byte_ids(model: str) -> tuple[int, ...]:
     return tuple(sp.piece_to_id(f"<0x{b:02X}>") for b in range(256))
 
 
+def _merged(word: str, known: dict[str, tuple[int, int]]) -> list[tuple]:
+    """The merge order on a short string: its parts as trees (start, end, rank, left part, right part)."""
+    parts = [(i, i + 1, -1, None, None) for i in range(len(word))]
+    while True:
+        ranks = [(known[w][1], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (w := word[a[0] : b[1]]) in known]
+        if not ranks:
+            return parts
+        r, k = min(ranks)
+        parts[k : k + 2] = [(parts[k][0], parts[k + 1][1], r, parts[k], parts[k + 1])]
+
+
 @lru_cache(maxsize=2)
-def letters_apart(model: str) -> bool:
-    """True if no piece has a letter or mark beside another character, but for word signs before it."""
-    import unicodedata
+def limits(model: str) -> dict[str, tuple[int, int, list[int], list[int]]]:
+    """For each piece that merges can make: id, rank, and its limits by length of its last and of its first part.
 
-    kind = lambda c: unicodedata.category(c)[0] in "LM"
-    return not any(kind(a) != kind(b) and a != SIGN or b == SIGN != a for p in pieces(model) for a, b in zip(p, p[1:], strict=False))
+    The limit is the rank of the merge that uses the part up (NEVER for the whole piece), and -1 where the merges never
+    make that part. Characters that only longer pieces hold are listed with id -1.
+    """
+    known = pieces(model)
+    out = {}
+    for p, (i, r) in known.items():
+        parts = _merged(p, known)
+        if len(parts) == 1:
+            last, first = [-1] * (len(p) + 1), [-1] * (len(p) + 1)
+            for own, at in ((last, 4), (first, 3)):
+                node, limit = parts[0], NEVER
+                while node:
+                    own[node[1] - node[0]] = limit
+                    limit, node = node[2], node[at]
+            out[p] = (i, r, last, first)
+    for c in set("".join(known)) - out.keys():
+        out[c] = (-1, NEVER, [-1, NEVER], [-1, NEVER])
+    return out
 
 
-def text_words(text: Column, model: str = MODEL) -> Column:
-    """Words of a text that is not null, blanks as word signs, one sign put before the text.
+@lru_cache(maxsize=2)
+def byte_classes(model: str) -> np.ndarray:
+    """Class of each UTF-8 byte: 0 blank, 2 other ASCII characters but letters, 1 all else; words are cut where it changes.
 
-    A word is a run of word signs and what follows it; where the vocabulary keeps letters and other characters apart,
-    these are words of their own too.
+    Where a piece of the vocabulary crosses from class 1 to 2 or back, all are one class.
     """
-    word = rf"{SIGN}*[\p{{L}}\p{{M}}]+|{SIGN}*[^\p{{L}}\p{{M}}{SIGN}]+|{SIGN}+" if letters_apart(model) else f"{SIGN}+[^{SIGN}]*"
-    signed = F.concat(F.lit(SIGN), F.replace(text, F.lit(" "), F.lit(SIGN)))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(signed, F.lit(word), F.lit(0)))
+    out = np.ones(256, np.uint8)
+    out[[b for b in range(128) if not chr(b).isalpha()]] = 2
+    out[32] = 0
+    kind = lambda c: out[min(ord(c), 128)]
+    pairs = [(a, b) for p in pieces(model) for a, b in zip(p, p[1:], strict=False)]
+    if any(b == SIGN != a for a, b in pairs):
+        raise ValueError("pieces of this model cross the borders of words")
+    if any(a != SIGN and kind(a) != kind(b) for a, b in pairs):
+        out[out == 2] = 1
+    return out
+
+
+def signed(text: Column) -> Column:
+    """The text with a blank before it and blanks for word signs, as the workers cut it; empty for null or empty."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(t == "", t).otherwise(F.concat(F.lit(" "), F.replace(t, F.lit(SIGN), F.lit(" "))))
+
+
+def cut_words(texts: pa.Array, model: str) -> tuple[pa.Array, np.ndarray]:
+    """All words of signed texts one after another, and the number of words before each text and in all."""
+    texts = texts.cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    raw = texts.buffers()[2] or pa.py_buffer(b"")
+    kind = byte_classes(model)[np.frombuffer(raw, np.uint8, int(at[-1] - at[0]), int(at[0]))]
+    before = np.append(np.uint8(3), kind[:-1])
+    edge = (kind != before) & (before != 0) if len(kind) else np.empty(0, bool)
+    rel = at - at[0]
+    edge[rel[:-1][np.diff(rel) > 0]] = True
+    starts = np.flatnonzero(edge)
+    ends = np.append(starts, len(kind))
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer((ends + at[0]).astype(np.int64)), raw)
+    return words, np.searchsorted(starts, rel)
+
+
+def hashes(words: pa.Array) -> np.ndarray:
+    """64 bits for each word."""
+    from pandas.util import hash_array
+
+    return hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False).view(np.int64) if len(words) else np.empty(0, np.int64)
+
+
+def word_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """docs: one column, signed texts. w, h, n: distinct words (with blanks for word signs), their hash and how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g in groups(b.column(0)):
+                coded = cut_words(g, model)[0].dictionary_encode()
+                if len(coded.dictionary):
+                    n = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary))
+                    yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(hashes(coded.dictionary)), pa.array(n)], names=["w", "h", "n"])
+
+    return docs.mapInArrow(run, "w string, h long, n long").groupBy("w").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
 
 
 def lattice(spark: SparkSession, words: DataFrame, model: str = MODEL) -> DataFrame:
-    """words: w (distinct, FOLD characters at most), n. w, n, edges: array<struct<rank, i, j, id>>, all pieces in the word by place.
+    """words: w (distinct, with word signs, FOLD characters at most) and others. The same with edges: array<bigint>, for
+    each piece in the word its end (from bit 48 on), 63 less its length (40), id (20) and rank (0), so that they sort by
+    end, the longest first.
 
     Dealt by word once, in parts of so many words that the edges of a part are grouped in memory: explode, broadcast
     join and grouping keep that dealing. Words without an edge are not returned.
     """
-    known = pieces(model)
+    known = limits(model)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words.count() // PART)
-    longest = max(map(len, known))
-    p = F.broadcast(spark.createDataFrame([(k, i, r) for k, (i, r) in known.items()], "p string, id int, rank int"))  # the fixed vocabulary
-    size = F.length("w")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - i + 1)), lambda k: F.struct((i - 1).alias("i"), (i - 1 + k).alias("j"), F.substr(F.col("w"), i, k).alias("p")))))
-    e = words.repartition(parts, "w").select("w", "n", F.explode(spans).alias("s")).select("w", "n", "s.i", "s.j", "s.p").join(p, "p")
-    return e.groupBy("w", "n").agg(F.collect_list(F.struct("rank", "i", "j", "id")).alias("edges"))
+    longest, own = max(map(len, known)), words.columns
+    p = F.broadcast(spark.createDataFrame([(k, (i << 20) + r) for k, (i, r, _, _) in known.items() if i >= 0], "_p string, _r long"))  # the fixed vocabulary
+    e = words.repartition(parts, "w").select("*", F.explode(F.sequence(F.lit(0), F.length("w") - 1)).alias("_i"))
+    e = e.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("w") - F.col("_i")))).alias("_k"))
+    e = e.withColumn("_p", F.substr("w", F.col("_i") + 1, F.col("_k"))).join(p, "_p")
+    packed = F.shiftleft((F.col("_i") + F.col("_k")).cast("long"), 48) + F.shiftleft((63 - F.col("_k")).cast("long"), 40) + F.col("_r")
+    return e.select(*own, packed.alias("_e")).groupBy(*own).agg(F.collect_list("_e").alias("edges"))
 
 
-def fold(w: Column, edges: Column, model: str = MODEL) -> Column:
-    """Ids of a word from its edges.
+@lru_cache(maxsize=2)
+def _limit_tables(model: str) -> tuple[str, str, int]:
+    """limits as two flat lists in text, by id and then length of the part; the width of an id. Behind the last id: a
+    character without a piece."""
+    known = limits(model)
+    width = max(map(len, known)) + 1
+    byte = processor(model).get_piece_size()
+    out = []
+    for k in (2, 3):
+        table = np.full((byte + 1, width), -1, np.int64)
+        table[byte, 1] = NEVER
+        for v in known.values():
+            if v[0] >= 0:
+                table[v[0], : len(v[k])] = v[k]
+        out.append(",".join(map(str, table.ravel().tolist())))
+    return out[0], out[1], width
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    The state is a bit mask of the places where pieces meet, and the edges that may still be taken: both ends stand
-    and there is a place between. Each step takes the best edge with one place between and clears that place.
-    """
-    one = F.lit(1).cast("long")
-    bit = lambda x: F.call_function("shiftleft", one, x)
-    n = F.length(w)
-    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-    wide = F.transform(
-        F.filter(edges, lambda e: e["j"] - e["i"] > 1),
-        lambda e: F.struct(e["rank"].alias("rank"), e["i"].alias("i"), bit(e["i"]).bitwiseOR(bit(e["j"])).alias("ends"), (bit(e["j"]) - bit(e["i"] + 1)).alias("inner")),
-    )
 
-    def step(s: Column, _: Column) -> Column:
-        best = F.array_min(F.filter(s["live"], lambda e: F.bit_count(s["cuts"].bitwiseAND(e["inner"])) == 1))
+def fold(w: Column, edges: Column, model: str = MODEL) -> Column:
+    """Ids of a word from its edges: one pass in the order of their ends.
 
-        def taken(b: Column) -> Column:
-            def after(cuts: Column) -> Column:
-                live = F.filter(s["live"], lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (cuts.bitwiseAND(e["inner"]) != 0) & b.isNotNull())
-                return F.struct(cuts.alias("cuts"), live.alias("live"))
+    The state holds, for each place reached, the start and the id of the last edge of its path. An edge to a place that
+    is reached already is passed over; else it is taken if the path to its start ends in a piece that the merges leave
+    apart from it, as is true for one edge of each place. A character that no piece equals is an edge of its own.
+    """
+    last, first, width = _limit_tables(model)
+    table = lambda t: F.split(F.lit(t), ",").cast("array<int>")  # folded to a constant
+    last, first = table(last), table(first)
+    byte, byte0, n = processor(model).get_piece_size(), byte_ids(model)[0], F.length(w)
+    singles = "".join(p for p, v in limits(model).items() if len(p) == 1 and v[0] >= 0)
+    bare = F.transform(F.sequence(F.lit(1), n), lambda j: F.shiftleft(j.cast("long"), 48) + F.lit((62 << 40) + (byte << 20) + (1 << 20) - 1))
 
-            return let(F.coalesce(s["cuts"].bitwiseAND(F.bitwise_not(b["inner"])), s["cuts"]), after)
+    def unpacked(e: Column) -> Column:
+        j = F.shiftright(e, 48).cast("int")
+        i = j - 63 + F.shiftright(e, 40).bitwiseAND(F.lit(255)).cast("int")
+        return F.struct(i.alias("i"), j.alias("j"), F.shiftright(e, 20).bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("id"), e.bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("rank"))
 
-        return let(best, taken)
+    every = F.transform(F.sort_array(F.when(F.translate(w, singles, "") == "", edges).otherwise(F.concat(edges, bare))), unpacked)
 
-    steps = F.when(F.size(wide) > 0, F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    cuts = F.aggregate(steps, F.struct((bit(n + 1) - 1).alias("cuts"), wide.alias("live")), step, lambda s: s["cuts"])
-    byte0 = byte_ids(model)[0]
+    def walk(every: Column, wide: Column) -> Column:
+        def step(s: Column, e: Column) -> Column:
+            i = e["i"]
+            used = lambda c: F.get(last, F.get(s["id"], i) * width + (i - c["i"])) > c["rank"]
+            starts = lambda c: F.get(first, e["id"] * width + (c["j"] - i)) >= c["rank"]
+            over = lambda c: (c["i"] < i) & (c["j"] > i) & (c["j"] <= e["j"]) & (c["i"] >= F.get(s["at"], i)) & used(c) & starts(c)
+            taken = F.struct(F.concat(s["at"], F.array(i)).alias("at"), F.concat(s["id"], F.array(e["id"])).alias("id"))
+            return F.when((F.size(s["at"]) > e["j"]) | ((i > 0) & F.exists(wide, over)), s).otherwise(taken)
 
-    def emit(c: Column) -> Column:
-        on = F.filter(F.sequence(F.lit(0), n), lambda k: c.bitwiseAND(bit(k)) != 0)
+        def path(s: Column) -> Column:
+            def back(b: Column, k: Column) -> Column:
+                raw = F.hex(F.encode(F.substr(w, k, F.lit(1)), "utf-8"))
+                spelled = F.transform(F.sequence(F.lit(1), F.length(raw) - 1, F.lit(2)), lambda x: F.conv(F.substr(raw, x, F.lit(2)), 16, 10).cast("int") + byte0)
+                own = F.when(F.get(s["id"], k) == byte, spelled).otherwise(F.array(F.get(s["id"], k)))
+                return F.when(b["k"] == k, F.struct(F.get(s["at"], k).alias("k"), F.concat(own, b["ids"]).alias("ids"))).otherwise(b)
 
-        def piece(i: Column, k: Column) -> Column:
-            j = F.get(on, k + 1)
-            found = F.filter(edges, lambda e: (e["i"] == i) & (e["j"] == j))
-            raw = F.hex(F.encode(F.substr(w, i + 1, j - i), "utf-8"))
-            fallback = F.transform(F.sequence(F.lit(1), F.length(raw) - 1, F.lit(2)), lambda b: F.conv(F.substr(raw, b, F.lit(2)), 16, 10).cast("int") + byte0)
-            return F.when(F.size(found) > 0, F.array(F.get(found, F.lit(0))["id"])).otherwise(fallback)
+            return F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), F.struct(n.alias("k"), F.array().cast("array<int>").alias("ids")), back, lambda b: b["ids"])
 
-        return F.flatten(F.transform(F.slice(on, F.lit(1), F.size(on) - 1), piece))
+        return F.aggregate(every, F.struct(F.array(F.lit(0)).alias("at"), F.array(F.lit(-1)).alias("id")), step, path)
 
-    return F.get(F.transform(F.array(cuts), emit), F.lit(0))
+    return let(every, lambda x: let(F.filter(x, lambda e: e["j"] - e["i"] > 1), lambda wide: walk(x, wide)))
 
 
-def merge_long(word: str, model: str = MODEL) -> list[int]:
-    """Ids of a word of any length by the same merge order, with a heap of neighbouring pairs."""
-    known = pieces(model)
-    start, nxt, prv = list(range(len(word))), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-    end = [i + 1 for i in start]
-    live, heap = [True] * len(word), []
-
-    def offer(a: int) -> None:
-        b = nxt[a]
-        if b < len(word) and (hit := known.get(word[a : end[b]])):
-            heapq.heappush(heap, (hit[1], a, end[a], end[b]))
-
-    for a in start:
-        offer(a)
-    while heap:
-        _, a, mid, to = heapq.heappop(heap)
-        if not live[a] or end[a] != mid or mid >= len(word) or not live[mid] or end[mid] != to:
-            continue
-        live[mid], end[a], nxt[a] = False, to, nxt[mid]
-        if nxt[a] < len(word):
-            prv[nxt[a]] = a
-        offer(a)
-        if prv[a] >= 0:
-            offer(prv[a])
-    out, a, raw = [], 0, byte_ids(model)
-    while a < len(word):
-        p = word[a : end[a]]
-        out += [known[p][0]] if p in known else [raw[b] for b in p.encode("utf-8", "surrogatepass")]
-        a = nxt[a]
-    return out
+@lru_cache(maxsize=2)
+def _parted(model: str) -> tuple[dict[str, tuple[int, int, list, list]], int]:
+    """limits with their parts as lists of length and limit, and the length of the longest piece."""
+    part = lambda own: [(k, x) for k, x in enumerate(own) if x >= 0]
+    known = limits(model)
+    return {p: (i, r, part(last), part(first)) for p, (i, r, last, first) in known.items()}, max(map(len, known))
+
+
+def fold_long(word: str, model: str = MODEL) -> list[int]:
+    """The same fold over one word of any length: its edges are looked up as places come, in time linear in the word."""
+    (known, longest), raw = _parted(model), byte_ids(model)
+    starts, ends = [0], [[]]  # of the best path to each place: where its last edge starts, that edge's limits
+    bare = [(1, NEVER)]
+    for j in range(1, len(word) + 1):
+        at, last = j - 1, bare
+        for i in range(max(0, j - longest), j):
+            p = word[i:j]
+            if p in known:
+                _, _, own_last, own_first = known[p]
+                crossed = ((word[i - k : i + m], x, y) for k, x in ends[i] for m, y in own_first)
+                if i == 0 or not any(c in known and known[c][1] < x and known[c][1] <= y for c, x, y in crossed):
+                    at, last = i, own_last
+                    break
+        starts.append(at)
+        ends.append(last)
+    out, j = [], len(word)
+    while j:
+        i = starts[j]
+        hit = known.get(word[i:j])
+        out.append([hit[0]] if hit and hit[0] >= 0 else [raw[b] for b in word[i:j].encode("utf-8", "surrogatepass")])
+        j = i
+    return [x for ids in reversed(out) for x in ids]
 
 
 def dictionary(spark: SparkSession, words: DataFrame, model: str = MODEL) -> DataFrame:
-    """words: w, n (distinct). Adds ids."""
+    """words: w (distinct, with blanks for word signs), h, n. Adds ids."""
 
-    def heap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def python_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [merge_long(x, model) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=["w", "n", "ids"])
+            ids = [fold_long(x.replace(" ", SIGN), model) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=["w", "h", "n", "ids"])
 
-    short, long = words.where(F.length("w") <= FOLD), words.where(F.length("w") > FOLD)
-    singles = "".join(p for p in pieces(model) if len(p) == 1)
-    edged = F.translate("w", singles, "") != F.col("w")  # some character is a piece; bytes alone need no lattice
-    folded = lattice(spark, short.where(edged), model).select("w", "n", fold(F.col("w"), F.col("edges"), model).alias("ids"))
-    long = long.union(short.where(~edged))
-    return folded.union(long.mapInArrow(heap, "w string, n long, ids array<int>"))
+    words = words.select("w", "h", "n")
+    singles = "".join(p for p, v in limits(model).items() if len(p) == 1 and v[0] >= 0)
+    edged = (F.length("w") <= FOLD) & (F.translate(F.col("w"), singles + " ", "") != F.col("w"))  # some character is a piece
+    grouped = lattice(spark, words.where(edged).select(F.translate("w", " ", SIGN).alias("w"), "h", "n"), model)
+    folded = grouped.select(F.translate("w", SIGN, " ").alias("w"), "h", "n", fold(F.col("w"), F.col("edges"), model).alias("ids"))
+    return folded.union(words.where(~edged).mapInArrow(python_fold, "w string, h long, n long, ids array<int>"))
 
 
 _FREQUENT: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 def _frequent(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes, offsets and ids of the frequent table; loaded once by a worker, only the latest one is kept."""
+    """Hashes, offsets and ids of the frequent table, whose files are sorted by hash; loaded once by a worker, only the
+    latest one is kept."""
     if path not in _FREQUENT:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        store, local = opened(path)
-        hashes, sizes, flat = [], [], []
-        for f in sorted((x for x in store.get_file_info(fs.FileSelector(local)) if x.path.endswith(".parquet")), key=lambda x: x.path):
-            with store.open_input_file(f.path) as g:
-                t = pq.read_table(g)
-            ids = t.column("ids").combine_chunks()
-            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            hashes.append(np.asarray(t.column("h")))
-            sizes.append(np.diff(np.asarray(ids.offsets, np.int64)))
-            flat.append(np.asarray(ids.flatten()).astype("<u2"))
-        h, n, v = (np.concatenate(x) if x else np.empty(0, k) for x, k in ((hashes, np.int64), (sizes, np.int64), (flat, np.uint16)))
-        order = np.argsort(h, kind="stable")
-        starts = np.cumsum(n) - n
-        n, starts = n[order], starts[order]
-        to = np.cumsum(n)
-        v = v[np.repeat(starts - (to - n), n) + np.arange(int(n.sum()))]
         _FREQUENT.clear()
-        _FREQUENT[path] = (h[order], np.concatenate([[0], to]).astype(np.uint32), v)
+        store, local = opened(path)
+        hashes, sizes, flat = [np.empty(0, np.int64)], [np.empty(0, np.uint32)], [np.empty(0, np.uint16)]
+        for f in sorted(x.path for x in store.get_file_info(fs.FileSelector(local)) if x.path.endswith(".parquet")):
+            with store.open_input_file(f) as g:
+                for b in pq.ParquetFile(g).iter_batches(100_000):
+                    hashes.append(np.array(b.column(0)))
+                    sizes.append(np.diff(np.asarray(b.column(1).offsets)).astype(np.uint32))
+                    flat.append(np.asarray(b.column(1).flatten()).astype("<u2"))
+        h = np.concatenate(hashes)
+        if (h[1:] <= h[:-1]).any():
+            raise ValueError("the frequent table is not sorted")
+        _FREQUENT[path] = (h, np.append(0, np.cumsum(np.concatenate(sizes), dtype=np.uint64)), np.concatenate(flat))
     return _FREQUENT[path]
 
 
@@ -227,61 +334,115 @@ def _taken(index: np.ndarray, offsets: np.ndarray, flat: np.ndarray) -> tuple[np
     return flat[np.repeat(at - (to - n), n) + np.arange(int(n.sum()))], n
 
 
-def encode(spark: SparkSession, docs: DataFrame, keep: list[str], text_col: str = "text", model: str = MODEL, frequent: int = FREQUENT) -> DataFrame:
+def _encoded(texts: pa.Array, given: dict[str, list[int]], path: str, model: str) -> tuple[pa.Array, list[list[str] | None]]:
+    """Ids of signed texts (null where a word is neither in the table nor given), and the words that such a text lacks."""
+    h, offsets, flat = _frequent(path)
+    words, ends = cut_words(texts, model)
+    coded = words.dictionary_encode()
+    asked, which = hashes(coded.dictionary), np.asarray(coded.indices, np.int64)
+    at = np.minimum(np.searchsorted(h, asked), max(len(h) - 1, 0))
+    miss = h[at] != asked if len(h) else np.ones(len(asked), bool)
+    own, sizes = np.empty(0, np.uint16), np.zeros(len(asked), np.int64)
+    if miss.any() and given:
+        lost = np.flatnonzero(miss)
+        filled = [given.get(w) for w in coded.dictionary.take(pa.array(lost)).to_pylist()]
+        miss[lost[[x is not None for x in filled]]] = False
+        place = len(offsets) - 1 + np.arange(sum(x is not None for x in filled))
+        at[lost[[x is not None for x in filled]]] = place
+        own = np.array([i for x in filled if x is not None for i in x], np.uint16)
+        offsets = np.append(offsets, offsets[-1] + np.cumsum([len(x) for x in filled if x is not None], dtype=np.uint64))
+        flat = np.append(flat, own)
+    ids, sizes[~miss] = _taken(at[~miss], offsets, flat) if not miss.all() else (np.empty(0, np.uint16), 0)
+    binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(asked), [None, pa.py_buffer(np.append(0, np.cumsum(2 * sizes)).astype(np.int64)), pa.py_buffer(ids.astype("<u2").tobytes())])
+    bad = np.diff(np.append(0, np.cumsum(miss[which]))[ends]) > 0
+    used = ~np.repeat(bad, np.diff(ends))
+    taken = binary.take(pa.array(which[used]))
+    to = np.append(0, np.cumsum(np.where(used, sizes[which], 0)))
+    every = np.frombuffer(taken.buffers()[2] or b"", "<u2", int(to[-1])).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(to[ends], pa.int32(), mask=np.append(bad, False)) if bad.any() else pa.array(to[ends], pa.int32()), pa.array(every))
+    lacks = [sorted(set(coded.dictionary.take(pa.array(np.unique(w[miss[w]]))).to_pylist())) if x else None for x, w in zip(bad, (which[i:j] for i, j in zip(ends, ends[1:], strict=False)), strict=True)] if bad.any() else [None] * len(bad)
+    return lists, lacks
+
+
+def _digest(model: str):
+    """n_pieces, ids_crc32 and round_trip for each text and its ids (uint32 of an Arrow list)."""
+    write = piece_bytes(model).__getitem__
+
+    def one(text: str | None, ids: np.ndarray) -> tuple[int, int, bool]:
+        back = b"".join(map(write, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
+        return len(ids), zlib.crc32(ids.astype("<u4").tobytes()), back == (text or "").replace(SIGN, " ")
+
+    return one
+
+
+DIGEST = [T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())]
+
+
+def encode(spark: SparkSession, docs: DataFrame, keep: list[str], text_col: str = "text", model: str = MODEL, frequent: int = FREQUENT, digest: bool = False) -> DataFrame:
     """keep, ids (array<int>) for each row of docs: the ids that the library gives the whole text.
 
-    A null or empty text has none. Repeated rows get equal ids; an empty table gives none.
+    With digest, keep ends in the text, and n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit integers)
+    and round_trip (decoding gives the text, word signs in it read as blanks) come instead of text and ids, from the
+    same worker. A null or empty text has no ids. Texts and words of any length are encoded whole. Repeated rows get
+    equal ids; an empty table gives none. The columns kept travel as one struct, so their names clash with nothing.
     """
-    if processor(model).get_piece_size() > 1 << 16:
+    if processor(model).get_piece_size() >= 1 << 16:
         raise ValueError("the frequent table holds ids of 16 bits")
-    d = docs.select(*keep, text_words(F.coalesce(F.col(text_col), F.lit("")), model).alias("_w"))
-    words = stored(spark, d.select(F.explode("_w").alias("w")).groupBy("w").agg(F.count("*").alias("n")), "piece-counts")
-    known = stored(spark, dictionary(spark, words, model).withColumn("h", F.xxhash64("w")), "piece-words")
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    texts = signed(F.col(f"`{text_col}`")).alias("text")
+    words = stored(spark, word_counts(docs.select(texts), model), "piece-counts")
+    grouping = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(grouping, None)
+    spark.conf.set(grouping, str(4 * PART))  # the edges of a part are grouped in memory, not sorted
+    try:
+        known = stored(spark, dictionary(spark, words, model), "piece-words")
+    finally:
+        spark.conf.set(grouping, before) if before is not None else spark.conf.unset(grouping)
     total = known.count()
     doubled = known.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     top = known if total <= frequent else known.orderBy(F.col("n").desc(), "w").limit(frequent)
-    top = top.join(doubled, "h", "left_anti") if not doubled.isEmpty() else top
+    complete = total <= frequent and doubled.isEmpty()
+    top = top if complete else top.join(doubled, "h", "left_anti")
     path = fresh_path(spark, "piece-frequent")
-    top.select("h", "ids").write.parquet(path)
-    hashed = d.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
-    kinds = hashed.select(*keep).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, offsets, flat = _frequent(path)
+    top.select("h", "ids").orderBy("h").write.parquet(path)
+    rows, schema = docs.select(row, texts), docs.select(row).schema
+    ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
+    kept = schema[0].dataType.fields
+    out = T.StructType([*kept[:-1], *DIGEST] if digest else [*kept, ids])
+    one = _digest(model) if digest else None
+
+    def finished(row: pa.Array, lists: pa.Array) -> pa.RecordBatch:
+        cols = row.flatten()
+        if not digest:
+            return pa.RecordBatch.from_arrays([*cols, lists], names=out.names)
+        got = [one(t.as_py(), np.asarray(x.values)) for t, x in zip(cols[-1], lists, strict=True)]
+        return pa.RecordBatch.from_arrays([*cols[:-1], *(pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_())))], names=out.names)
+
+    def encoded(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                col = part.column(part.num_columns - 1)
-                ends = np.asarray(col.offsets, np.int64)
-                asked = np.asarray(col.values, np.int64)[ends[0] : ends[-1]]
-                ends = ends - ends[0]
-                if len(h):
-                    at = np.minimum(np.searchsorted(h, asked), len(h) - 1)
-                    miss = h[at] != asked
+            at = 0
+            for g in groups(b.column(1)):
+                part = b.slice(at, len(g))
+                at += len(g)
+                given = {x["w"]: x["ids"] for own in part.column(2).to_pylist() for x in own} if part.num_columns > 2 else {}
+                lists, lacks = _encoded(g, given, path, model)
+                if last:
+                    yield finished(part.column(0), lists)
                 else:
-                    at, miss = np.zeros(len(asked), np.int64), np.ones(len(asked), bool)
-                missed = np.concatenate([[0], np.cumsum(miss)])
-                bad = missed[ends[1:]] > missed[ends[:-1]]
-                used = ~np.repeat(bad, np.diff(ends))
-                ids, n = _taken(at[used], offsets, flat) if used.any() else (np.empty(0, np.uint16), np.empty(0, np.int64))
-                spread = np.zeros(len(asked), np.int64)
-                spread[used] = n
-                sums = np.concatenate([[0], np.cumsum(spread)])
-                lists = pa.ListArray.from_arrays(pa.array(sums[ends], pa.int32()), pa.array(ids.astype(np.int32)))
-                lists = pa.array([None if x else y for x, y in zip(bad, lists.to_pylist(), strict=True)], pa.list_(pa.int32())) if bad.any() else lists
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*part.schema.names[:-1], "ids"])
+                    import pyarrow.compute as pc
 
-    ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
-    if total <= frequent and doubled.isEmpty():
-        return hashed.select(*keep, "_h").mapInArrow(run, T.StructType([*kinds.fields, ids]))
-    rows = hashed.select(F.struct(*keep).alias("_row"), "_w", "_h").withColumn("_key", F.monotonically_increasing_id())
-    rows = stored(spark, rows, "piece-texts")  # from here on the keys are fixed
-    first = stored(spark, rows.select("_row", "_key", "_h").mapInArrow(run, T.StructType([*rows.select("_row", "_key").schema.fields, ids])), "piece-first")
-    rest = rows.join(first.where("ids is null").select("_key"), "_key", "left_semi")
-    parts = rest.select("_key", F.posexplode("_w").alias("_at", "w")).join(known.select("w", "ids"), "w")
-    whole = parts.groupBy("_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "ids"))), lambda x: x["ids"])).alias("ids"))
-    done = first.where("ids is not null").select("_row.*", "ids")
-    return done.unionByName(rest.select("_key", "_row").join(whole, "_key").select("_row.*", "ids"))
+                    yield pa.RecordBatch.from_arrays([part.column(0), lists, pc.if_else(lists.is_null(), g, None), pa.array(lacks, pa.list_(pa.string()))], names=["row", "ids", "text", "lost"])
+
+    if complete:
+        return rows.mapInArrow(lambda b: encoded(b, True), out)
+    kind = T.StructType([schema[0], ids, T.StructField("text", T.StringType()), T.StructField("lost", T.ArrayType(T.StringType()))])
+    first = stored(spark, rows.mapInArrow(lambda b: encoded(b, False), kind), "piece-first")
+    rest = stored(spark, first.where("ids is null").withColumn("key", F.monotonically_increasing_id()), "piece-rest")  # from here on the keys are fixed
+    gone = rest.select("key", F.explode("lost").alias("w")).join(known.select("w", F.col("ids").alias("own")), "w")
+    gone = gone.groupBy("key").agg(F.collect_list(F.struct("w", F.col("own").alias("ids"))).alias("given"))
+    again = rest.join(gone, "key").select("row", "text", "given").mapInArrow(lambda b: encoded(b, True), out)
+    done = first.where("ids is not null").select("row", "ids").mapInArrow(lambda batches: (finished(b.column(0), b.column(1)) for b in batches), out)
+    return done.unionByName(again)
 
 
 @lru_cache(maxsize=2)
@@ -303,7 +464,11 @@ def decode_ids(ids: list[int], model: str = MODEL) -> str:
 
 
 def decoded(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """encoded with a column text from its ids (array<int>); null for null."""
+    """encoded with the text of its ids (array<int>) in the column text, in place of one that is there; null for null.
+
+    Byte ids that are no UTF-8 give the replacement character. An empty list gives an empty text; rows stay as they are.
+    """
+    encoded = encoded.drop("text")
     at = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,24 +479,5 @@ def decoded(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))
 
 
-def summary(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """encoded: doc_id, text, ids. doc_id, n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit integers),
-    round_trip (decoding gives the text, word signs in it read as blanks)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        write = piece_bytes(model).__getitem__
-        for b in batches:
-            n, crc, same = [], [], []
-            for t, x in zip(b.column(1), b.column(2), strict=True):
-                ids = np.asarray(x.values, np.uint32)
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                back = b"".join(map(write, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
-                same.append(back == (t.as_py() or "").replace(SIGN, " "))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "round_trip"])
-
-    return encoded.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary(encode(spark, table(spark, sf_dir, "documents"), ["doc_id", "text"]))
+    return encode(spark, table(spark, sf_dir, "documents"), ["doc_id", "text"], digest=True)
