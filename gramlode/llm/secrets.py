@@ -32,6 +32,7 @@ UUID = re.compile(r"[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 PART = re.compile(r"[^+/_=-]+")
+SIGNS = "+/_=-"
 KINDS = ("assign", "access", "hex", "random")
 
 Span = tuple[int, int, str]
@@ -60,8 +61,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def tokens(s: str, enc) -> int:
-    """Whole strings are encoded, in pieces of a bounded length, as the encoder's time grows with a piece's square."""
-    return sum(len(enc.encode_ordinary(s[i : i + 512])) for i in range(0, len(s), 512))
+    return len(enc.encode_ordinary(s))
 
 
 def plain(part: str, enc, ratio: float = RATIO) -> bool:
@@ -102,19 +102,48 @@ def exposed_spans(s: str, enc, ratio: float = RATIO) -> list[tuple[int, int]]:
 
 
 def random_spans(text: str, enc, taken: list[Span], ratio: float = RATIO) -> list[Span]:
-    """Random strings that overlap none of the spans taken."""
-    out = []
+    """Random strings that overlap none of the spans taken, which are sorted by start.
+
+    Where a span covers a part of a candidate, what it leaves on either side is tested on its own. Candidates and spans
+    are walked through together once.
+    """
+    out, k = [], 0
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if not any(a < e and s < b for a, b, _ in taken):
-            out += [(s + a, s + b, "random") for a, b in exposed_spans(m.group(), enc, ratio)]
+        while k < len(taken) and taken[k][1] <= s:
+            k += 1
+        free, at, j = [], s, k
+        while j < len(taken) and taken[j][0] < e:
+            if taken[j][0] > at:
+                free.append((at, taken[j][0]))
+            at = max(at, taken[j][1])
+            j += 1
+        free.append((at, e))
+        for a, b in free:
+            while a < b and a > s and text[a] in SIGNS:  # signs that part the rest from a span are not part of it
+                a += 1
+            while a < b < e and text[b - 1] in SIGNS:
+                b -= 1
+            if b - a >= LEAST:
+                out += [(a + x, a + y, "random") for x, y in exposed_spans(text[a:b], enc, ratio)]
+    return out
+
+
+def covered(spans: list[Span]) -> list[Span]:
+    """Sorted spans joined where they overlap, so that neither starts nor ends go back."""
+    out: list[Span] = []
+    for s, e, k in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]), k)
+        else:
+            out.append((s, e, k))
     return out
 
 
 def find(text: str, enc, ratio: float = RATIO) -> tuple[list[Span], list[Span]]:
     """The base spans, and all spans; both by start, then kind."""
     base = base_spans(text)
-    return base, sorted(base + random_spans(text, enc, base, ratio), key=lambda s: (s[0], KINDS.index(s[2])))
+    return base, sorted(base + random_spans(text, enc, covered(base), ratio), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def shown(spans: list[Span]) -> str:
@@ -124,8 +153,9 @@ def shown(spans: list[Span]) -> str:
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str = VOCABULARY, ratio: float = RATIO) -> DataFrame:
     """keep, n_assign, n_access, n_hex, base_sha256, spans, n_spans for each row of docs.
 
-    Whole texts are scanned. A null or empty text has no spans. Rows are scanned one by one, so repeated rows and ties
-    get equal results; an empty table gives none.
+    Whole texts of any length are scanned in one pass. A null or empty text has no spans. Rows are scanned one by one,
+    so repeated rows and ties get equal results; an empty table gives none. Other columns are not read; kept ones may
+    have any name but those of the results.
     """
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 

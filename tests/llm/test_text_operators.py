@@ -92,6 +92,73 @@ def test_random_letters_and_parts_are_exposed():
         assert secrets.find(text, enc)[1] == []
 
 
+def brute_secrets(text):
+    """The base rule, read character by character."""
+    out = []
+    key = lambda c: c.isascii() and (c.isalnum() or c in "+/_.=-")
+    i, low = 0, "".join(c.lower() if c.isascii() else c for c in text)
+    while i < len(text):
+        end = None
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name, i):
+                j = i + len(name)
+                j += text[j : j + 1] in ('"', "'") and j < len(text)
+                while text[j : j + 1] == " ":
+                    j += 1
+                if text[j : j + 1] not in (":", "="):
+                    continue
+                j += 1
+                while text[j : j + 1] == " ":
+                    j += 1
+                j += text[j : j + 1] in ('"', "'") and j < len(text)
+                k = j
+                while k < len(text) and key(text[k]):
+                    k += 1
+                if k > j:
+                    end = (k, k - j)
+                    break
+        if end:
+            out += [(i, end[0], "assign")] * (end[1] >= 6)
+            i = end[0]
+        else:
+            i += 1
+    for kind, first, more, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), ("hex", "", set("0123456789abcdef"), 24)):
+        i = 0
+        while i < len(text):
+            j = i + len(first) if text.startswith(first, i) else i
+            k = j
+            while (j > i or not first) and k < len(text) and text[k] in more:
+                k += 1
+            if k > j:
+                out += [(i, k, kind)] * (k - i >= least)
+                i = k
+            else:
+                i += 1
+    return sorted(out, key=lambda s: (s[0], ("assign", "access", "hex").index(s[2])))
+
+
+def test_secrets_equal_brute_force():
+    rng = random.Random(6)
+    parts = ["password", "PassWd", "secret", "Token", "api_key", "APIKEY", '"', "'", " ", ":", "=", "AKIA", "AKIAAKIA", "0a1b2c3d4e5f", "deadbeef", "A9Z8", "zz", "\n", "é", ".", "-", "\u212a", "x" * 5]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        assert secrets.base_spans(t) == brute_secrets(t), t
+
+
+def test_planted_keys_are_found_beside_base_spans():
+    """Random keys of 20 to 40 characters: nearly all are exposed; so is what a base span leaves of a candidate."""
+    enc, rng = secrets.encoding(secrets.VOCABULARY), random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for alphabet in (letters + "0123456789", letters, letters[:26] + "234567", letters + "0123456789+/_-"):
+        keys = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(20, 41))) for _ in range(300)]
+        hit = sum(any(k == "random" or e - s >= 20 for s, e, k in secrets.find(f"the key {x} is here", enc)[1]) for x in keys)
+        assert hit >= 290, (alphabet, hit)
+    text = "0a1b2c3d4e5f0a1b2c3d4e5f/qZ8pW3vX9mK2rT7yL4nBc5Hd"
+    assert secrets.find(text, enc)[1] == [(0, 24, "hex"), (25, len(text), "random")]
+    many = "0a1b2c3d4e5f0a1b2c3d4e5f " * 20_000
+    assert len(secrets.find(many, enc)[0]) == 20_000
+
+
 def test_personal_data(spark, odd, empty):
     f = {r.doc_id: [(x.kind, x.m) for x in r._base] for r in pii.find(spark, odd, ["doc_id"]).collect()}
     assert f[400] == [("email", "me.34@mail7.example.com"), ("ip", "97.51.17.173"), ("card", "4952935900253052"), ("phone", "+1 (487) 555-7209")]
