@@ -37,13 +37,27 @@ def test_quality_sketch_merges_exactly(spark):
     d = spark.range(5000).select((F.col("id") * 37 % 4001).alias("v"), (F.col("id") % 7).cast("string").alias("lang"), F.lit("s").alias("source"))
     d = d.select("lang", "source", *[F.col("v").alias(m) for m in quality.MEASURES])
     parts = quality.merge(quality.sketch(d), ())
-    q = quality.quartiles(parts, ()).first()
+    q = quality.quantiles(parts, ()).first()
     v = sorted(r.word_len for r in d.collect())
-    for k in (1, 3):
-        true = v[-(-len(v) * k // 4) - 1]
+    for k in quality.FENCE["word_len"][:2]:
+        true = v[-(-len(v) * k // 100) - 1]
         assert true * 31 / 32 <= q[f"word_len_q{k}"] <= true and q.docs == 5000
 
 
+def test_quality_fences_differ_and_failed_rows_do_not_move_them(spark):
+    rng = random.Random(9)
+    line = lambda words: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(words))
+    rows = [(i, "\n".join(line(12) for _ in range(10)) + (" # #" * (i % 3) if i % 2 else ""), "en", "calm" if i % 2 == 0 else "code") for i in range(400)]
+    junk = [(1000 + i, "\n".join([line(6)] * 4 + [line(12) for _ in range(6)]) + " #" * 30, "en", "calm") for i in range(6)]
+    failed = [(2000 + i, "# " * 30, "en", "calm") for i in range(300)]
+    make = lambda x: spark.createDataFrame(x, "doc_id long, text string, lang string, source string")
+    limits = lambda x: {(r.doc_id // 1000, r.source): r.symbol_rate_max for r in quality.quality(spark, make(x)).where("not base_failed").collect()}
+    kept = {r.doc_id: r.kept for r in quality.quality(spark, make(rows + junk + failed)).collect()}
+    assert all(kept[r[0]] for r in rows) and not any(kept[r[0]] for r in junk + failed)
+    a, b = limits(rows + junk), limits(rows + junk + failed)
+    assert a == b and a[0, "calm"] < a[0, "code"]
+
+
 def test_mixing_water_filling(spark, odd, empty):
     m = mixing.mix(spark, odd)
     got = m.select("doc_id", "source", F.col("_own_size").alias("size"), F.col("_own_source_size").alias("all"), F.col("_own_target").alias("target"), F.col("_own_copies").alias("copies")).collect()
