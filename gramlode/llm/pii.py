@@ -1,10 +1,11 @@
 """Personal data: patterned spans, and further candidates selected by boosted trees.
 
 Everything runs as DataFrame expressions. Patterns give the base spans. Broader generators propose overlapping
-candidates (numbers in any layout, spelled-out addresses); gradient-boosted trees, trained here on a bounded sample of
-disguised validated spans and of numbers that are none, score format and context features, and a threshold calibrated
-on a part of the sample that training has not seen selects the candidates that are added. The trees are compiled into one
-column expression, so candidates are scored inside their document's row and nothing is exploded or joined back.
+candidates (each sequence of neighbouring groups of digits in a run of numbers, spelled-out addresses); gradient-boosted
+trees, trained here on a bounded sample of disguised validated spans, of their parts and of numbers that are none, score
+format and context features, and a threshold calibrated on a part of the sample that training has not seen selects the
+candidates that are added: of those that overlap, the one of the best score. The trees are compiled into one column
+expression, so candidates are scored inside their document's row and nothing is exploded or joined back.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
-#: Generators of candidates: digits in any layout, and addresses with their signs spelled out.
-NUMBERS = r"(?<![0-9])[+(]?[0-9][0-9 ().-]{5,40}[0-9]"
+#: Generators of candidates: runs of digits in any layout, whose groups of digits are combined up to so many digits, and
+#: addresses with their signs spelled out.
+NUMBERS, MOST_DIGITS = r"(?<![0-9])[+(]?[0-9][0-9 ().-]{5,}[0-9]", 19
 SPELLED = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?[(\[] ?(?:at|AT) ?[)\]] ?[A-Za-z0-9-]++(?:(?:\.| ?[(\[] ?(?:dot|DOT) ?[)\]] ?)[A-Za-z0-9-]++)++"
 
 #: Most candidates that train and calibrate the trees; precision that the threshold must reach on the unseen part.
@@ -99,7 +101,9 @@ def base_spans(text: Column) -> Column:
     )
 
 
-FEATURES = ("length", "digits", "letters", "dots", "spaces", "dashes", "parens", "plus", "spelled", "groups", "longest", "luhn", "octets", "before", "after", "cue")
+FEATURES = ("length", "digits", "letters", "dots", "spaces", "dashes", "parens", "plus", "spelled", "groups", "longest", "luhn", "octets", "before", "after", "cue", "more_before", "more_after")
+#: Characters behind a candidate that its features see (before it: 16).
+RIGHT = 4
 _CUE = r"(?i)(?:tel|phone|call|fax|mail|card|visa|ip|addr|contact)[a-z]*[ :.#]*$"
 
 
@@ -109,24 +113,54 @@ def features(text: Column, c: Column) -> Column:
     count = lambda p: F.length(m) - F.length(F.regexp_replace(m, p, ""))
     runs = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
     d = digits(m)
-    before, after = F.substr(text, F.greatest(c["s"] - 15, F.lit(1)), F.least(c["s"], F.lit(16))), F.substr(text, c["e"] + 1, F.lit(1))
+    before, after = F.substr(text, F.greatest(c["s"] - 15, F.lit(1)), F.least(c["s"], F.lit(16))), F.substr(text, c["e"] + 1, F.lit(RIGHT))
     values = (
         F.length(m), F.length(d), count("[A-Za-z]"), count(r"\."), count(" "), count("-"), count("[()]"), m.startswith("+"), m.rlike("(?i)[(\\[] ?at"),
         F.size(runs), F.array_max(F.transform(runs, lambda r: F.length(r))), F.when(F.length(d).between(12, 19), luhn(d)).otherwise(F.lit(False)),
-        (F.size(runs) == 4) & (count(r"\.") == 3) & octets(F.array_join(runs, ".")), before.rlike(r"[A-Za-z0-9]$"), after.rlike("[A-Za-z0-9]"), before.rlike(_CUE),
+        (F.size(runs) == 4) & (count(r"\.") == 3) & octets(F.array_join(runs, ".")), before.rlike(r"[A-Za-z0-9]$"), after.rlike("^[A-Za-z0-9]"), before.rlike(_CUE),
+        before.rlike(r"[0-9][ ().-]{1,3}$"), after.rlike(r"^[ ().-]{1,3}[0-9]"),
     )
     return F.struct(*[F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for n, v in zip(FEATURES, values, strict=True)])
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """array<struct<s, e, m, label, f>>: proposals of the generators; label: 1 if it overlaps a base span."""
+def proposals(text: Column) -> Column:
+    """array<array<struct<s, e, m>>>: for each run of numbers, all sequences of its neighbouring groups that have 7 to
+    MOST_DIGITS digits, with a plus sign or bracket right before them; overlapping as they come. An address alone."""
     none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    found = F.concat(
-        F.when(text.rlike("[0-9][0-9 ().-]{5}"), located(text, NUMBERS)).otherwise(none),
-        F.when(text.rlike(r"(?i)[(\[] ?at ?[)\]]"), located(text, SPELLED)).otherwise(none),
-    )
-    hit = lambda c: F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    return F.transform(found, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["m"].alias("m"), hit(c).cast("int").alias("label"), features(text, c).alias("f")))
+
+    def parts(run: Column) -> Column:
+        def sequences(groups: Column) -> Column:
+            def from_group(g: Column, i: Column) -> Column:
+                opens = (g["s"] > 0) & F.substr(run["m"], g["s"], F.lit(1)).isin("+", "(")
+                s = g["s"] - F.when(opens, 1).otherwise(0)
+                ends = F.slice(groups, i + 1, F.least(F.size(groups) - i, F.lit(MOST_DIGITS)))
+                return F.transform(ends, lambda h: F.struct((run["s"] + s).alias("s"), (run["s"] + h["e"]).alias("e"), F.substr(run["m"], s + 1, h["e"] - s).alias("m")))
+
+            return F.filter(F.flatten(F.transform(groups, from_group)), lambda c: F.length(digits(c["m"])).between(7, MOST_DIGITS))
+
+        return let(located(run["m"], "[0-9]+"), sequences)
+
+    numbers = F.when(text.rlike("[0-9][0-9 ().-]{5}"), F.transform(located(text, NUMBERS), parts)).otherwise(F.array().cast("array<array<struct<s:int,e:int,m:string>>>"))
+    spelled = F.when(text.rlike(r"(?i)[(\[] ?at ?[)\]]"), located(text, SPELLED)).otherwise(none)
+    return F.concat(numbers, F.transform(spelled, lambda c: F.array(c)))
+
+
+def added(text: Column, base: Column, selector: Selector) -> Column:
+    """array<struct<kind, s, e, m>>: of each run's proposals that overlap no base span and reach the threshold, the best
+    (then longest, then first), and of the rest always the best that overlaps none taken."""
+    free = lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+
+    def scored(c: Column) -> Column:
+        return let(features(text, c), lambda f: F.struct((-selector.score(f)).alias("score"), (c["s"] - c["e"]).alias("size"), c["s"].alias("s"), c["e"].alias("e"), c["m"].alias("m"), F.when(f["spelled"] > 0, "address").otherwise("number").alias("kind")))
+
+    def chosen(run: Column) -> Column:
+        good = F.sort_array(F.filter(F.transform(F.filter(run, free), scored), lambda c: -c["score"] >= selector.threshold))
+        none = F.array().cast("array<struct<kind:string,s:int,e:int,m:string>>")
+        own = lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"), c["m"].alias("m"))
+        taken = F.aggregate(good, none, lambda a, c: F.when(F.exists(a, lambda x: (x["s"] < c["e"]) & (c["s"] < x["e"])), a).otherwise(F.concat(a, F.array(own(c)))))
+        return F.array_sort(taken, lambda x, y: x["s"] - y["s"])
+
+    return F.flatten(F.transform(proposals(text), chosen))
 
 
 def _tree(node, f: Column) -> Column:
@@ -163,7 +197,7 @@ DISGUISES = [
     *[("ip", 0, "m", _OCTETS, t) for t in ("987$1.$2.$3.$4", "$1.$2.$3.$4.$1", "$1 $2 $3 $4", "$1-$2-$3-$4")],
     *[("card", 1, "d", _FOURS, t) for t in ("$1$2$3$4$5", "$1 $2 $3 $4$5", "$1-$2-$3-$4$5", "$1.$2.$3.$4$5", "$1 - $2 - $3 - $4$5")],
     *[("card", 0, "wrong", _FOURS, t) for t in ("$1$2$3$4$5", "$1 $2 $3 $4$5", "$1-$2-$3-$4$5", "$1.$2.$3.$4$5", "$1 - $2 - $3 - $4$5")],
-    *[("card", 0, "d", _FOURS, t) for t in ("$1$2$3$4$5 $1$2$3$4", "$1 $2 $3 $4$5 $2", "$1 $2 $3", "$1$2$3")],
+    *[("card", 0, "d", _FOURS, t) for t in ("$1 $2 $3", "$1$2$3")],
     *[("phone", 1, "m", _WHOLE, "$1"), ("phone", 1, "m", r"^\+(.*)$", "$1")],
     *[("phone", 1, "ten", _TEN, t) for t in ("($1$2$3) $4-$5", "$1$2$3-$4-$5", "$1$2$3 $4 $5", "$1$2$3.$4.$5", "0$1$2 $3$4 $5", "(0$1$2) $3$4 $5", "0$1$2$3 $4$5")],
     *[("phone", 0, "ten", _TEN, t) for t in ("20$1$2-0$3-1$3", "1$1.0$2.19$3$1", "19$1$2-20$3$1", "19$1$2 - 20$3$1", "$1 $4 $4", "$1.$4$5", "$1.$2$3$4$5", "$1.$2$1$3$4$5", "$1$2$3.$4$5", "$1$2$3$4$5", "$1$2$4$3$1", "$4$5", "$1 $2 $3 $1 $2 $3 $1", "$1$2 $3$1 $2$3 $1$1", "$1$2$3-$5", "$1$4. $4", "$1$2$3$1 $5", "$4 ($5")],
@@ -176,12 +210,13 @@ def examples(spark: SparkSession, rows: DataFrame, sample: int) -> DataFrame:
     No label repeats the base rule, and candidates that no validated span touches are never taught as negatives, as
     missed personal data are among them. Positives are disguises of validated spans, in their context and without it;
     negatives are the layouts that fail. A kind gives a fortieth of the sample of spans at most, those of the smallest
-    hashes. Disguises of one span share _h.
+    hashes. Of every positive with several groups, what is left without its first or its last group is a negative too,
+    and a whole card beside other digits a positive. Disguises of one span share _h.
     """
     from pyspark.sql import Window
 
     spot = F.explode("_base").alias("b")
-    near = rows.select(spot, "_t").select("b.kind", "b.m", F.substr("_t", F.greatest(F.col("b.s") - 15, F.lit(1)), F.least(F.col("b.s"), F.lit(16))).alias("left"), F.substr("_t", F.col("b.e") + 1, F.lit(1)).alias("right"))
+    near = rows.select(spot, "_t").select("b.kind", "b.m", F.substr("_t", F.greatest(F.col("b.s") - 15, F.lit(1)), F.least(F.col("b.s"), F.lit(16))).alias("left"), F.substr("_t", F.col("b.e") + 1, F.lit(RIGHT)).alias("right"))
     near = near.withColumn("_h", F.xxhash64("m")).withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy("_h", "left", "right"))).where(F.col("_n") <= sample // 40)
     near = cut(spark, near)
     d = digits(F.col("m"))
@@ -191,8 +226,15 @@ def examples(spark: SparkSession, rows: DataFrame, sample: int) -> DataFrame:
     wrong = F.concat(F.substr(d, F.lit(1), F.length(d) - 1), turned)
     near = near.select("kind", "left", "right", "_h", F.create_map(F.lit("m"), F.col("m"), F.lit("plain"), plain, F.lit("bare"), bare, F.lit("brief"), F.regexp_replace(bare, "^([^@]{1,3})[^@]*@", "$1@"), F.lit("d"), d, F.lit("wrong"), wrong, F.lit("ten"), F.rpad(F.right(d, F.lit(10)), 10, "5")).alias("_of"))
     layouts = F.broadcast(spark.createDataFrame(DISGUISES, "kind string, label int, of string, groups string, layout string"))  # some fifty rows
-    forms = near.join(layouts, "kind").where(F.rlike(F.col("_of")[F.col("of")], F.col("groups"))).select("label", "_h", "right", F.explode(F.array("left", F.lit(" "))).alias("left"), F.regexp_replace(F.col("_of")[F.col("of")], F.col("groups"), F.col("layout")).alias("m"))
-    forms = cut(spark, forms)
+    forms = near.join(layouts, "kind").where(F.rlike(F.col("_of")[F.col("of")], F.col("groups"))).select("kind", "label", "_h", "right", F.explode(F.array("left", F.lit(" "))).alias("left"), F.regexp_replace(F.col("_of")[F.col("of")], F.col("groups"), F.col("layout")).alias("m"))
+    whole = (F.col("label") == 1) & F.col("kind").isin("card", "phone")
+    parted = forms.where(whole & F.col("m").rlike(r"[0-9][ ().-]+[0-9]"))
+    head, tail = F.regexp_extract("m", r"^([+(]*[0-9]+[ ().-]+)[+(]?[0-9].*$", 1), F.regexp_extract("m", r"^.*[0-9]([ ().-]+[0-9]+)$", 1)
+    back = parted.select("kind", F.lit(0).alias("label"), "_h", "right", F.concat("left", head).alias("left"), F.substr("m", F.length(head) + 1, F.length("m")).alias("m"))
+    front = parted.select("kind", F.lit(0).alias("label"), "_h", F.concat(tail, "right").alias("right"), "left", F.substr("m", F.lit(1), F.length("m") - F.length(tail)).alias("m"))
+    beside = forms.where(whole & (F.col("kind") == "card")).select("kind", "label", "_h", F.concat(F.lit(" "), F.left(digits(F.col("m")), F.lit(3))).alias("right"), F.explode(F.array(F.lit(" "), F.concat(F.lit("x "), F.right(digits(F.col("m")), F.lit(13)), F.lit(" ")))).alias("left"), "m")
+    parts = back.unionByName(front).where(F.length(digits(F.col("m"))).between(7, MOST_DIGITS) & ~is_card(F.col("m")))
+    forms = cut(spark, forms.unionByName(parts).unionByName(beside).drop("kind"))
     at = F.length("left")
     made = forms.select("label", features(F.concat("left", "m", "right"), F.struct(at.alias("s"), (at + F.length("m")).alias("e"), "m")).alias("f"), "_h")
     return made.select("label", "f.*", "_h").orderBy(F.xxhash64("_h", "label", *FEATURES), "label").limit(sample)
@@ -227,17 +269,16 @@ def train(spark: SparkSession, rows: DataFrame, sample: int = SAMPLE, precision:
 def find(spark: SparkSession, docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """keep, _base and _spans (array<struct<kind, s, e, m>>) for each row of docs.
 
-    Whole texts are searched; a null or empty text has no spans. Base spans always stay; added ones (kind number or
-    address) overlap no base span. Repeated rows get equal spans; an empty table gives none.
+    Whole texts of any length are searched; a null or empty text has no spans. Base spans always stay; added ones (kind
+    number or address) overlap no base span and not each other. Repeated rows get equal spans; an empty table gives
+    none. Columns kept may have any names but _t, _base and _spans; others are not read.
     """
     t = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     t = t.withColumn("_base", base_spans(F.col("_t")))
     selector = train(spark, t.where(F.size("_base") > 0))
     if selector is None:
         return t.withColumn("_spans", F.col("_base"))
-    good = F.filter(candidates(F.col("_t"), F.col("_base")), lambda c: (c["label"] == 0) & (selector.score(c["f"]) >= selector.threshold))
-    added = F.transform(good, lambda c: F.struct(F.when(c["f"]["spelled"] > 0, "address").otherwise("number").alias("kind"), c["s"].alias("s"), c["e"].alias("e"), c["m"].alias("m")))
-    return t.withColumn("_spans", F.concat("_base", added))
+    return t.withColumn("_spans", F.concat("_base", added(F.col("_t"), F.col("_base"), selector)))
 
 
 def shown(spans: Column) -> Column:
@@ -245,11 +286,15 @@ def shown(spans: Column) -> Column:
 
 
 def redacted(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the matched strings of all spans in the text replaced by [PII]; null texts stay null."""
-    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_own"))
+    """docs with every span of the text replaced by [PII], overlapping ones by one; null texts stay null. Text outside of
+    spans stays as it is, even where it equals a span."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_own"))
     f = find(spark, row, ["_row"], "_own")
-    clean = F.aggregate("_spans", F.col("_t"), lambda a, x: F.replace(a, x["m"], F.lit("[PII]")))
-    text = F.when(F.col("_row")[text_col].isNull(), F.lit(None)).otherwise(clean)
+    ordered = F.array_sort(F.transform("_spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    gap = lambda a, x: F.concat(a["out"], F.array(F.substr("_t", a["at"] + 1, x["s"] - a["at"]), F.lit("[PII]")))
+    parts = F.aggregate(ordered, start, lambda a, x: F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] < a["at"], a["out"]).otherwise(gap(a, x)).alias("out")), lambda a: F.concat(a["out"], F.array(F.substr("_t", a["at"] + 1, F.length("_t")))))
+    text = F.when(F.col("_row")[text_col].isNull(), F.lit(None)).otherwise(F.array_join(parts, ""))
     return f.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
