@@ -211,7 +211,8 @@ def examples(spark: SparkSession, rows: DataFrame, sample: int) -> DataFrame:
     missed personal data are among them. Positives are disguises of validated spans, in their context and without it;
     negatives are the layouts that fail. A kind gives a fortieth of the sample of spans at most, those of the smallest
     hashes. Of every positive with several groups, what is left without its first or its last group is a negative too,
-    and a whole card beside other digits a positive. Disguises of one span share _h.
+    a whole card beside other digits a positive, and
+    one glued to letters a negative. Disguises of one span share _h.
     """
     from pyspark.sql import Window
 
@@ -234,7 +235,8 @@ def examples(spark: SparkSession, rows: DataFrame, sample: int) -> DataFrame:
     front = parted.select("kind", F.lit(0).alias("label"), "_h", F.concat(tail, "right").alias("right"), "left", F.substr("m", F.lit(1), F.length("m") - F.length(tail)).alias("m"))
     beside = forms.where(whole & (F.col("kind") == "card")).select("kind", "label", "_h", F.concat(F.lit(" "), F.left(digits(F.col("m")), F.lit(3))).alias("right"), F.explode(F.array(F.lit(" "), F.concat(F.lit("x "), F.right(digits(F.col("m")), F.lit(13)), F.lit(" ")))).alias("left"), "m")
     parts = back.unionByName(front).where(F.length(digits(F.col("m"))).between(7, MOST_DIGITS) & ~is_card(F.col("m")))
-    forms = cut(spark, forms.unionByName(parts).unionByName(beside).drop("kind"))
+    glued = forms.where(whole).select("kind", F.lit(0).alias("label"), "_h", F.explode(F.array(F.lit("d"), F.lit(" x"))).alias("right"), F.concat("left", F.lit("a")).alias("left"), "m")
+    forms = cut(spark, forms.unionByName(parts).unionByName(beside).unionByName(glued).drop("kind"))
     at = F.length("left")
     made = forms.select("label", features(F.concat("left", "m", "right"), F.struct(at.alias("s"), (at + F.length("m")).alias("e"), "m")).alias("f"), "_h")
     return made.select("label", "f.*", "_h").orderBy(F.xxhash64("_h", "label", *FEATURES), "label").limit(sample)

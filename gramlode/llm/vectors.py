@@ -1,10 +1,14 @@
 """Exact top-k by inner product through a vector-approximation file.
 
-Every vector has an approximation: the cell of each component on a grid of 16 cells. A scan of the approximations
-bounds each score from above and below; exact vectors are then read in the order of their bounds (for a similarity:
-the highest upper bound first) until the k-th exact score beats every bound that is left. Queries are taken in blocks
-of bounded size, each broadcast once; every task keeps the k best of its rows for each query, and one shuffle of those
-merges them.
+The approximation file is written once: for every vector the cell of each component, a byte on a grid of 256 cells over
+that component's range, packed in chunks of vectors. Blocks of queries meet the chunks in one scan: since cells have
+equal widths, one product of cells and scaled query gives a base score, and the true score lies between the base and the
+base plus a gap that depends on the query alone. What beats the k-th best base less the gap is a candidate. Exact vectors
+are then read in the order of their bounds: first the best few of each query, and further ones only while their upper
+bound reaches the k-th exact score, so the result is certain.
+
+Queries stay distributed: blocks are rows of a table, dealt to the parts of the file by an equi-join. Components too
+large for exact arithmetic in doubles leave the file; such vectors are candidates of every query.
 """
 
 from __future__ import annotations
@@ -17,11 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
-K, CELLS, BLOCK, EVERY, SCALE = 5, 16, 4096, 50, 256
-#: Scores beyond what a double holds exactly are computed in Python integers and end at the limits of a bigint.
-EXACT, TOP = 1 << 53, (1 << 63) - 1
+#: Best rows, cells of a component, queries of a block, vectors of a chunk, which ids ask, and the scale of components.
+K, CELLS, BLOCK, CHUNK, EVERY, SCALE = 5, 256, 1024, 4096, 50, 256
+#: Candidates of a query that are read first, as a multiple of k; blocks of queries that are broadcast.
+FIRST, FEW_BLOCKS = 4, 8
+#: Components from LARGE on are not approximated; scores end at the limits of a bigint.
+LARGE, TOP = 1 << 21, (1 << 63) - 1
 
 
 def usable(v: Column) -> Column:
@@ -34,102 +41,156 @@ def integers(v: Column, scale: int = SCALE) -> Column:
     return F.transform(v, lambda x: F.floor(scale * x.cast("double")))
 
 
-def _matrix(rows: list | pa.Array, dim: int) -> np.ndarray:
-    """Rows of dim columns; shorter vectors end in zeros, as do longer ones for shorter queries."""
-    lists = rows.to_numpy(zero_copy_only=False) if isinstance(rows, pa.Array) else rows
+def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
+    """Rows of dim columns; shorter vectors end in zeros."""
+    sizes = np.diff(np.asarray(lists.offsets, np.int64))
+    flat = np.asarray(lists.values, np.int64)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
+    if (sizes == dim).all():
+        return flat.reshape(-1, dim)
     out = np.zeros((len(lists), dim), np.int64)
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x[:dim]
+    out[np.repeat(np.arange(len(lists)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
 
 
-def _block(b: pa.Array, dim: int) -> np.ndarray:
-    sizes = np.diff(np.asarray(b.offsets, np.int64))
-    if len(b) and (sizes == dim).all():
-        return np.asarray(b.values, np.int64)[b.offsets[0].as_py() : b.offsets[-1].as_py()].reshape(-1, dim)
-    return _matrix(b, dim)
-
-
-def _exact(m: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products of the rows of m with one query."""
-    if int(np.abs(m).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(1, len(q)) < TOP:
-        return m @ q
-    return np.array([max(-TOP - 1, min(TOP, sum(int(x) * int(y) for x, y in zip(r, q, strict=True)))) for r in m], np.int64)
-
-
-def top_of_block(ids: np.ndarray, m: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its place, and ids and scores of the rows of m that may be among its k best; least: k-th best so far."""
-    low, high = m.min(0).astype(float), m.max(0).astype(float)
-    width = np.maximum(1.0, np.ceil((high - low + 1) / CELLS))
-    cell = ((m - low) // width).astype(np.uint8)  # the approximation
-    lo = low + cell * width
-    hi = np.minimum(lo + width - 1, high)
-    pos, neg = np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
-    upper, lower = pos @ hi.T + neg @ lo.T, pos @ lo.T + neg @ hi.T
-    slack = 0.0 if np.abs(upper).max(initial=0) < EXACT and np.abs(lower).max(initial=0) < EXACT else float("inf")
-    kept = min(k + 1, m.shape[0])  # one more, as a query's own row takes no part
-    sure = np.partition(lower, m.shape[0] - kept, axis=1)[:, m.shape[0] - kept] - slack if kept > k else np.full(len(queries), -np.inf)
-    sure = np.maximum(sure, least)
-    for i in range(len(queries)):
-        some = np.flatnonzero((upper[i] + slack >= sure[i]) & (ids != query_ids[i]))
-        some = some[np.argsort(-upper[i, some], kind="stable")]
-        best = np.empty(0, np.int64)
-        seen, step = 0, 4 * k
-        while seen < len(some) and (len(best) < k or upper[i, some[seen]] + slack >= best[k - 1]):
-            best = np.sort(np.concatenate([best, _exact(m[some[seen : seen + step]], queries[i])]))[::-1][:k]
-            seen, step = seen + step, 2 * step
-        some = some[:seen]
-        if len(some):
-            s = _exact(m[some], queries[i])
-            order = np.lexsort((ids[some], -s))[:k] if s.min() > -TOP else sorted(range(len(s)), key=lambda j: (-int(s[j]), int(ids[some[j]])))[:k]
-            yield i, ids[some][order], s[order]
-
-
-def _scan(query_ids: np.ndarray, queries: np.ndarray, k: int):
+def _small(m: np.ndarray) -> np.ndarray:
+    return ((m > -LARGE) & (m < LARGE)).all(1)
+
+
+def _ranges(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Least value and width of a cell for each component; one row of each task reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.empty(0, np.int64), np.empty(0, np.int64)
+        for b in batches:
+            if b.num_rows:
+                sizes = np.diff(np.asarray(b.column(0).offsets, np.int64))
+                m = _matrix(b.column(0), max(len(low), int(sizes.max())))
+                grown = m.shape[1] - len(low)
+                low, high = (np.append(x, np.zeros(grown, np.int64)) for x in (low, high))  # zeros: what short vectors end in
+                m = m[_small(m)]
+                if len(m):
+                    low, high = np.minimum(low, m.min(0)), np.maximum(high, m.max(0))
+        yield pa.RecordBatch.from_arrays([pa.array([low], pa.list_(pa.int64())), pa.array([high], pa.list_(pa.int64()))], names=["low", "high"])
+
+    got = vectors.select("v").mapInArrow(run, "low array<long>, high array<long>").collect()
+    dim = max([1, *(len(r.low) for r in got)])
+    low, high = np.zeros(dim, np.int64), np.zeros(dim, np.int64)
+    for r in got:
+        low[: len(r.low)], high[: len(r.low)] = np.minimum(low[: len(r.low)], r.low), np.maximum(high[: len(r.low)], r.high)
+    return low, -(-(high - low + 1) // CELLS)
+
+
+def approximations(spark: SparkSession, vectors: DataFrame, low: np.ndarray, width: np.ndarray) -> DataFrame:
+    """The file, written and read back. vectors: vec_id, v. For each chunk: ids, cells (both packed), and exact: the ids
+    of vectors that are not approximated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, CHUNK):
+                part = b.slice(k, CHUNK)
+                ids, m = np.asarray(part.column(0), np.int64), _matrix(part.column(1), len(low))
+                small = _small(m)
+                cells = ((m[small] - low) // width).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids[small].astype("<i8"), cells, ids[~small].astype("<i8"))], names=["ids", "cells", "exact"])
+
+    return stored(spark, vectors.select("vec_id", "v").mapInArrow(run, "ids binary, cells binary, exact binary"), "vector-cells")
+
+
+def query_blocks(spark: SparkSession, asked: DataFrame, dim: int, block: int = BLOCK) -> DataFrame:
+    """asked: vec_id, v. queries: packed ids, vectors: packed components, for each block of so many queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, int]]] = {}
-        least = np.full(len(query_ids), -np.inf)
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids, m = np.asarray(b.column(0), np.int64), _block(b.column(1), queries.shape[1])
-            for at in range(0, len(ids), 2048):
-                part = slice(at, at + 2048)
-                for i, v, s in top_of_block(ids[part], m[part], query_ids, queries, least, k):
-                    held[i] = sorted([*held.get(i, []), *((-int(y), int(x)) for x, y in zip(v, s, strict=True))])[:k]
-                    if len(held[i]) == k:
-                        least[i] = -held[i][-1][0]
-        rows = [(i, x, -y) for i, best in held.items() for y, x in best]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["q", "vec_id", "score"])
+            for k in range(0, b.num_rows, block):
+                part = b.slice(k, block)
+                ids, m = np.asarray(part.column(0), "<i8"), _matrix(part.column(1), dim).astype("<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, m)], names=["queries", "vectors"])
+
+    return stored(spark, asked.select("vec_id", "v").mapInArrow(run, "queries binary, vectors binary"), "vector-queries")
+
+
+def _scan(low: np.ndarray, width: np.ndarray, k: int):
+    """Pairs of a chunk and a block: the candidates of each query. A worker remembers the k-th best bases of the blocks
+    it has seen last, so that later chunks give less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kth: dict[bytes, np.ndarray] = {}
+        for b in batches:
+            for ids, cells, exact, asked, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids, exact, qs = (np.frombuffer(x, "<i8") for x in (ids, exact, asked))
+                m = np.frombuffer(cells, np.uint8).reshape(-1, len(low)).astype(float)
+                q = np.frombuffer(packed, "<i8").reshape(-1, len(low))
+                plain = _small(q)
+                qf = np.where(plain[:, None], q, 0).astype(float)
+                gap = np.abs(qf) @ ((width - 1) + 2.0**-46 * (CELLS * width + np.abs(low)))  # and what rounding may do
+                base = (qf * width) @ m.T + (qf @ low.astype(float) + np.minimum(qf, 0) @ (width - 1).astype(float))[:, None]
+                base[ids[None, :] == qs[:, None]] = -np.inf  # a query's own rows take no part
+                best = kth.pop(asked, np.full((len(qs), k), -np.inf))
+                some = np.partition(base, base.shape[1] - k, axis=1)[:, -k:] if base.shape[1] > k else base
+                best = np.sort(np.concatenate([best, some], axis=1), axis=1)[:, -k:]
+                kth[asked] = best
+                if len(kth) > 256:
+                    kth.pop(next(iter(kth)))
+                i, j = np.nonzero((base >= (best[:, 0] - gap)[:, None]) & (base > -np.inf) | (~plain[:, None] & (ids[None, :] != qs[:, None])))
+                at, to = np.nonzero(exact[None, :] != qs[:, None])
+                sure = np.concatenate([plain[i], np.zeros(len(at), bool)])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([qs[i], qs[at]])), pa.array(np.concatenate([ids[j], exact[to]])),
+                    pa.array(np.where(sure, np.concatenate([base[i, j], np.zeros(len(at))]), np.inf)), pa.array(np.concatenate([gap[i], np.zeros(len(at))])), pa.array(sure),
+                ], names=["query_id", "vec_id", "base", "gap", "sure"])
 
     return run
 
 
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """query_id, vec_id, v, q: the inner products, with integers of any size where a double or long might not do."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        dim = max(1, *(int(np.diff(np.asarray(c.offsets)).max()) for c in b.columns[2:]))
+        m, q = _matrix(b.column(2), dim), _matrix(b.column(3), dim)
+        plain = _small(m) & _small(q)
+        s = np.einsum("ij,ij->i", np.where(plain[:, None], m, 0), np.where(plain[:, None], q, 0))
+        for i in np.flatnonzero(~plain):
+            s[i] = max(-TOP - 1, min(TOP, sum(x * y for x, y in zip(m[i].tolist(), q[i].tolist(), strict=True))))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["query_id", "vec_id", "score"])
+
+
 def top_k(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK, scale: int = SCALE) -> DataFrame:
     """vectors: vec_id, embedding (others are ignored). query_id, rank, vec_id, score for each vec_id divisible by every.
 
     Vectors that are null or hold a null or non-finite component, and null vec_ids, take no part. A query meets every
-    row but those of its own vec_id; ties go to the smaller vec_id. Repeated query rows count once, repeated candidate
-    rows each. Vectors of other lengths are filled with zeros. An empty table gives no rows.
+    row but those of its own vec_id; ties go to the smaller vec_id. Repeated query rows count once (of different vectors
+    of one vec_id the least asks), repeated candidate rows each. Vectors of different lengths are filled with zeros. An
+    empty table gives no rows.
     """
     base = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding"), scale).alias("v"))
-    asked = base.where(F.col("vec_id") % every == 0).distinct()
-    parts = max(1, -(-asked.count() // block))
-    out = None
-    for p in range(parts):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == p).collect() if parts > 1 else asked.collect()
-        own = sorted((r.vec_id, list(r.v)) for r in own)
-        if not own:
-            continue
-        dim = max(1, max(len(v) for _, v in own))
-        ids, m = np.array([i for i, _ in own], np.int64), _matrix([v for _, v in own], dim)
-        rows = base.mapInArrow(_scan(ids, m, k), "q long, vec_id long, score long")
-        names = F.broadcast(spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "q long, query_id long"))  # block rows at most
-        w = W.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
-        best = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).join(names, "q").select("query_id", "rank", "vec_id", "score")
-        out = best if out is None else out.union(best)
-    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    asked = base.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    low, width = _ranges(base)
+    cells = approximations(spark, base, low, width)
+    blocks = query_blocks(spark, asked, len(low), block)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    few = blocks.limit(FEW_BLOCKS + 1).count() <= FEW_BLOCKS
+    pairs = cells.withColumn("part", F.pmod(F.xxhash64("ids", "exact"), F.lit(parts)).cast("int")).join(F.broadcast(dealt) if few and parts <= 64 else dealt.hint("merge"), "part")
+    kind = "query_id long, vec_id long, base double, gap double, sure boolean"
+    found = stored(spark, pairs.select("ids", "cells", "exact", "queries", "vectors").mapInArrow(_scan(low, width, k), kind), "vector-candidates")
+    kth = found.where("sure").withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("base").desc()))).where(F.col("_r") == k)
+    kth = kth.select("query_id", F.col("base").alias("_least"))
+    near = found.join(kth, "query_id", "left").where("_least is null or not sure or base + gap >= _least")
+    near = near.groupBy("query_id", "vec_id").agg(F.max(F.col("base") + F.col("gap")).alias("upper"))
+    near = stored(spark, near.withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("upper").desc(), "vec_id"))), "vector-near")
+
+    def exact(some: DataFrame) -> DataFrame:
+        pairs = some.select("query_id", "vec_id").join(base, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        return pairs.select("query_id", "vec_id", "v", "q").mapInArrow(_exact, "query_id long, vec_id long, score long")
+
+    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    first = stored(spark, exact(near.where(F.col("_r") <= FIRST * k)), "vector-first")
+    reached = first.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == k).select("query_id", F.col("score").alias("_kth"))
+    rest = near.where(F.col("_r") > FIRST * k).join(reached, "query_id", "left").where("_kth is null or upper >= _kth")
+    every_score = first.unionByName(exact(rest))
+    return every_score.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
