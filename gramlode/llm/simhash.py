@@ -91,28 +91,29 @@ def gray_rank(x: Column) -> Column:
     return x.bitwiseXOR(F.lit(signed(1 << 63)).cast("long"))
 
 
-def buckets(spark: SparkSession, distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """mask, pat, fp: every fingerprint in each of its buckets; a bucket holds limit rows at most (or has few free bits)."""
-    masks, rows, done = [0], distinct.select("fp"), []
+def buckets(spark: SparkSession, rows: DataFrame, limit: int = LIMIT, distance: int = DISTANCE) -> DataFrame:
+    """rows: fp and others (distinct). mask, pat and those: every row in each of its buckets; a bucket holds limit rows at
+    most, or has few free bits or equal fingerprints."""
+    own, masks, done = rows.columns, [0], []
     while True:
-        split = [(signed(m), signed(c)) for m in masks for c in thirds(m)]
+        split = [(signed(m), signed(c)) for m in masks for c in thirds(m, distance + 1)]
         if masks == [0]:
-            rows = rows.select("fp", F.explode(F.array(*[F.lit(c).cast("long") for _, c in split])).alias("child"))
+            rows = rows.select(*own, F.explode(F.array(*[F.lit(c).cast("long") for _, c in split])).alias("child"))
         else:
-            step = F.broadcast(spark.createDataFrame(split, "mask long, child long"))  # three rows for each mask of this level
-            rows = rows.join(step, "mask").select("fp", "child").distinct()
-        masks = sorted({c for m in masks for c in thirds(m)})
-        rows = rows.select(F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("pat"), "fp")
+            step = F.broadcast(spark.createDataFrame(split, "mask long, child long"))  # some rows for each mask of this level
+            rows = rows.join(step, "mask").select(*own, "child").distinct()
+        masks = sorted({c for m in masks for c in thirds(m, distance + 1)})
+        rows = rows.select(F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("pat"), *own)
         if 64 - min(m.bit_count() for m in masks) <= limit.bit_length() - 1:
             done.append(rows)
             break
-        hot = cut(spark, rows.groupBy("mask", "pat").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("mask", "pat"))
+        hot = cut(spark, rows.groupBy("mask", "pat").agg(F.count("*").alias("n"), F.approx_count_distinct("fp").alias("d")).where((F.col("n") > limit) & (F.col("d") > 1)).select("mask", "pat"))
         if hot.isEmpty():
             done.append(rows)
             break
         hot = checked(hot)
         done.append(rows.join(hot, ["mask", "pat"], "left_anti"))
-        rows = cut(spark, rows.join(hot, ["mask", "pat"], "left_semi").select("mask", "fp"))
+        rows = cut(spark, rows.join(hot, ["mask", "pat"], "left_semi").select("mask", *own))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -199,7 +200,7 @@ def _search(distance: int):
 
 def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, limit: int = LIMIT) -> DataFrame:
     """u, v: links between distinct fingerprints, enough of them to connect all that the full set of links connects."""
-    b = buckets(spark, distinct, limit)
+    b = buckets(spark, distinct.select("fp"), limit, distance)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     b = b.repartition(parts, "mask", "pat").withColumn("_g", gray_rank(F.col("fp"))).sortWithinPartitions("mask", "pat", "_g")
     return b.select("mask", "pat", "fp").mapInArrow(_search(distance), "u bigint, v bigint")

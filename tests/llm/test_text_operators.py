@@ -256,6 +256,47 @@ def test_simhash_components(spark, odd, empty):
     assert one.count() == len(low) and simhash.near_copies(spark, empty).isEmpty()
 
 
+def jaccard_rows(texts):
+    sets = []
+    for t in texts:
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    return lambda a, b: 1.0 if not (sets[a] | sets[b]) else len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+
+
+def test_near_copies_by_shingles(spark, odd, empty):
+    """Edited copies of many texts, words repeated as in prose: nearly all pairs at 0.8 or more meet in one component,
+    and nothing else does."""
+    from gramlode.llm import nearcopies
+
+    rng = random.Random(12)
+    rare = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    common = [rare() for _ in range(40)]
+    word = lambda: rng.choice(common) if rng.random() < 0.5 else rare()
+    texts, base = [], []
+    for k in range(120):
+        own = [word() for _ in range(rng.randrange(60, 300))]
+        for c in range(rng.randrange(2, 6)):
+            w = list(own)
+            for _ in range(c * len(w) // 100 if k % 3 else 6 * c * len(w) // 100):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+            base.append(k)
+    texts += ["same words here " * 40, "same words here " * 41, "x", "x", "", None]
+    like = jaccard_rows(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in nearcopies.representatives(spark, d).collect()}
+    n = len(base)
+    close = [(a, b) for b in range(n) for a in range(b) if base[a] == base[b] and like(a, b) >= 0.8]
+    lost = [(a, b) for a, b in close if b in kept]
+    assert len(close) > 100 and len(lost) <= 0.05 * len(close)
+    alone = [b for b in range(n) if all(like(a, b) < 0.8 for a in range(n) if base[a] == base[b] and a != b)]
+    assert len(alone) > 20 and kept.issuperset(alone) and kept.issuperset(base.index(k) for k in range(120))
+    assert [i - n for i in sorted(kept) if i >= n] == [0, 2, 4]
+    out = nearcopies.representatives(spark, odd.select(F.struct(*odd.columns).alias("_r"), "doc_id", "text"))
+    assert {(r.doc_id, r.text) for r in out.collect()}.issubset({(r.doc_id, r.text) for r in odd.collect()}) and nearcopies.representatives(spark, empty).isEmpty()
+
+
 def test_simhash_buckets_split_without_losing_links(spark):
     rng = np.random.default_rng(2)
     seeds = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
