@@ -42,6 +42,8 @@ SIGN = "▁"
 FOLD, FREQUENT = 255, 8_000_000
 #: Words of a part whose lattices are grouped at once.
 PART = 8_000
+#: Bytes of text that a worker cuts at a time.
+GROUP = 4 << 20
 #: A limit that no rank reaches.
 NEVER = (1 << 31) - 1
 
@@ -105,59 +107,63 @@ def limits(model: str) -> dict[str, tuple[int, int, list[int], list[int]]]:
 
 
 @lru_cache(maxsize=2)
-def byte_classes(model: str) -> np.ndarray:
-    """Class of each UTF-8 byte: 0 blank, 2 other ASCII characters but letters, 1 all else; words are cut where it changes.
-
-    Where a piece of the vocabulary crosses from class 1 to 2 or back, all are one class.
-    """
-    out = np.ones(256, np.uint8)
-    out[[b for b in range(128) if not chr(b).isalpha()]] = 2
+def lead_classes(model: str) -> np.ndarray:
+    """Class of a character by its first UTF-8 byte: 0 blank, 1 letter (ASCII and U+00C0 to U+024F), 2 other ASCII
+    character, 3 all else; words are cut before blanks and between classes 1 and 2. Where a piece of the vocabulary
+    crosses such a cut, classes 1 and 2 are one."""
+    out = np.full(256, 3, np.uint8)
+    out[:128] = 2
+    out[[*range(65, 91), *range(97, 123), *range(0xC3, 0xCA)]] = 1
     out[32] = 0
-    kind = lambda c: out[min(ord(c), 128)]
     pairs = [(a, b) for p in pieces(model) for a, b in zip(p, p[1:], strict=False)]
     if any(b == SIGN != a for a, b in pairs):
         raise ValueError("pieces of this model cross the borders of words")
-    if any(a != SIGN and kind(a) != kind(b) for a, b in pairs):
+    if any(a != SIGN and {int(out[x.encode()[0]]) for x in (a, b)} == {1, 2} for a, b in pairs):
         out[out == 2] = 1
     return out
 
 
-def signed(text: Column) -> Column:
-    """The text with a blank before it and blanks for word signs, as the workers cut it; empty for null or empty."""
-    t = F.coalesce(text, F.lit(""))
-    return F.when(t == "", t).otherwise(F.concat(F.lit(" "), F.replace(t, F.lit(SIGN), F.lit(" "))))
+def signed(texts: pa.Array) -> pa.Array:
+    """Texts with a blank before and blanks for word signs, as they are cut; empty for null or empty."""
+    import pyarrow.compute as pc
+
+    t = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), SIGN, " ")
+    blank, bare = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+    return pc.if_else(pc.equal(t, bare), t, pc.binary_join_element_wise(blank, t, bare))
 
 
 def cut_words(texts: pa.Array, model: str) -> tuple[pa.Array, np.ndarray]:
     """All words of signed texts one after another, and the number of words before each text and in all."""
-    texts = texts.cast(pa.large_string())
     at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
     raw = texts.buffers()[2] or pa.py_buffer(b"")
-    kind = byte_classes(model)[np.frombuffer(raw, np.uint8, int(at[-1] - at[0]), int(at[0]))]
-    before = np.append(np.uint8(3), kind[:-1])
-    edge = (kind != before) & (before != 0) if len(kind) else np.empty(0, bool)
+    data = np.frombuffer(raw, np.uint8, int(at[-1] - at[0]), int(at[0]))
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    kind = lead_classes(model)[data[lead]]
+    before = np.append(np.uint8(0), kind[:-1])
+    edge = ((kind == 0) & (before != 0)) | (kind + before * 4 == 6) | (kind + before * 4 == 9)
+    cut = np.zeros(len(data), bool)
+    cut[lead[edge[: len(lead)]]] = True
     rel = at - at[0]
-    edge[rel[:-1][np.diff(rel) > 0]] = True
-    starts = np.flatnonzero(edge)
-    ends = np.append(starts, len(kind))
-    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer((ends + at[0]).astype(np.int64)), raw)
+    cut[rel[:-1][np.diff(rel) > 0]] = True
+    starts = np.flatnonzero(cut)
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer((np.append(starts, len(data)) + at[0]).astype(np.int64)), raw)
     return words, np.searchsorted(starts, rel)
 
 
 def hashes(words: pa.Array) -> np.ndarray:
     """64 bits for each word."""
-    from pandas.util import hash_array
+    from xxhash import xxh3_64_intdigest
 
-    return hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False).view(np.int64) if len(words) else np.empty(0, np.int64)
+    return np.fromiter(map(xxh3_64_intdigest, words.to_numpy(zero_copy_only=False)), np.uint64, len(words)).view(np.int64)
 
 
 def word_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """docs: one column, signed texts. w, h, n: distinct words (with blanks for word signs), their hash and how often."""
+    """docs: one column, texts. w, h, n: distinct words (with blanks for word signs), their hash and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for g in groups(b.column(0)):
-                coded = cut_words(g, model)[0].dictionary_encode()
+            for g in groups(b.column(0), GROUP):
+                coded = cut_words(signed(g), model)[0].dictionary_encode()
                 if len(coded.dictionary):
                     n = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary))
                     yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(hashes(coded.dictionary)), pa.array(n)], names=["w", "h", "n"])
@@ -313,17 +319,20 @@ def _frequent(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
         _FREQUENT.clear()
         store, local = opened(path)
-        hashes, sizes, flat = [np.empty(0, np.int64)], [np.empty(0, np.uint32)], [np.empty(0, np.uint16)]
-        for f in sorted(x.path for x in store.get_file_info(fs.FileSelector(local)) if x.path.endswith(".parquet")):
-            with store.open_input_file(f) as g:
-                for b in pq.ParquetFile(g).iter_batches(100_000):
-                    hashes.append(np.array(b.column(0)))
-                    sizes.append(np.diff(np.asarray(b.column(1).offsets)).astype(np.uint32))
-                    flat.append(np.asarray(b.column(1).flatten()).astype("<u2"))
-        h = np.concatenate(hashes)
+        files = [pq.ParquetFile(store.open_input_file(f)) for f in sorted(x.path for x in store.get_file_info(fs.FileSelector(local)) if x.path.endswith(".parquet"))]
+        rows = sum(f.metadata.num_rows for f in files)
+        h, offsets, flat, at = np.empty(rows, np.int64), np.zeros(rows + 1, np.uint32), [np.empty(0, np.uint16)], 0
+        for f in files:
+            for b in f.iter_batches(50_000):
+                to = at + b.num_rows
+                h[at:to] = np.asarray(b.column(0))
+                offsets[at + 1 : to + 1] = int(offsets[at]) + np.cumsum(np.diff(np.asarray(b.column(1).offsets)))
+                flat.append(np.asarray(b.column(1).flatten()).astype("<u2"))
+                at = to
+            f.close()
         if (h[1:] <= h[:-1]).any():
             raise ValueError("the frequent table is not sorted")
-        _FREQUENT[path] = (h, np.append(0, np.cumsum(np.concatenate(sizes), dtype=np.uint64)), np.concatenate(flat))
+        _FREQUENT[path] = (h, offsets, np.concatenate(flat))
     return _FREQUENT[path]
 
 
@@ -335,9 +344,9 @@ def _taken(index: np.ndarray, offsets: np.ndarray, flat: np.ndarray) -> tuple[np
 
 
 def _encoded(texts: pa.Array, given: dict[str, list[int]], path: str, model: str) -> tuple[pa.Array, list[list[str] | None]]:
-    """Ids of signed texts (null where a word is neither in the table nor given), and the words that such a text lacks."""
+    """Ids of texts (null where a word is neither in the table nor given), and the words that such a text lacks."""
     h, offsets, flat = _frequent(path)
-    words, ends = cut_words(texts, model)
+    words, ends = cut_words(signed(texts), model)
     coded = words.dictionary_encode()
     asked, which = hashes(coded.dictionary), np.asarray(coded.indices, np.int64)
     at = np.minimum(np.searchsorted(h, asked), max(len(h) - 1, 0))
@@ -350,7 +359,7 @@ def _encoded(texts: pa.Array, given: dict[str, list[int]], path: str, model: str
         place = len(offsets) - 1 + np.arange(sum(x is not None for x in filled))
         at[lost[[x is not None for x in filled]]] = place
         own = np.array([i for x in filled if x is not None for i in x], np.uint16)
-        offsets = np.append(offsets, offsets[-1] + np.cumsum([len(x) for x in filled if x is not None], dtype=np.uint64))
+        offsets = np.append(offsets, offsets[-1] + np.cumsum([len(x) for x in filled if x is not None]).astype(np.uint32))
         flat = np.append(flat, own)
     ids, sizes[~miss] = _taken(at[~miss], offsets, flat) if not miss.all() else (np.empty(0, np.uint16), 0)
     binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(asked), [None, pa.py_buffer(np.append(0, np.cumsum(2 * sizes)).astype(np.int64)), pa.py_buffer(ids.astype("<u2").tobytes())])
@@ -388,8 +397,12 @@ def encode(spark: SparkSession, docs: DataFrame, keep: list[str], text_col: str
     """
     if processor(model).get_piece_size() >= 1 << 16:
         raise ValueError("the frequent table holds ids of 16 bits")
-    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
-    texts = signed(F.col(f"`{text_col}`")).alias("text")
+    if digest and keep[-1] != text_col:
+        raise ValueError("with digest, the text is the last column kept")
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.fields
+    kept = kept[:-1] if digest else kept
+    row = F.struct(*[F.col(f"`{f.name}`") for f in kept]).alias("row")
+    texts = F.col(f"`{text_col}`").alias("text")
     words = stored(spark, word_counts(docs.select(texts), model), "piece-counts")
     grouping = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(grouping, None)
@@ -407,31 +420,28 @@ def encode(spark: SparkSession, docs: DataFrame, keep: list[str], text_col: str
     top.select("h", "ids").orderBy("h").write.parquet(path)
     rows, schema = docs.select(row, texts), docs.select(row).schema
     ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
-    kept = schema[0].dataType.fields
-    out = T.StructType([*kept[:-1], *DIGEST] if digest else [*kept, ids])
+    out = T.StructType([*kept, *DIGEST] if digest else [*kept, ids])
     one = _digest(model) if digest else None
 
-    def finished(row: pa.Array, lists: pa.Array) -> pa.RecordBatch:
+    def finished(row: pa.Array, texts: pa.Array, lists: pa.Array) -> pa.RecordBatch:
         cols = row.flatten()
         if not digest:
             return pa.RecordBatch.from_arrays([*cols, lists], names=out.names)
-        got = [one(t.as_py(), np.asarray(x.values)) for t, x in zip(cols[-1], lists, strict=True)]
-        return pa.RecordBatch.from_arrays([*cols[:-1], *(pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_())))], names=out.names)
+        got = [one(t.as_py(), np.asarray(x.values)) for t, x in zip(texts, lists, strict=True)]
+        return pa.RecordBatch.from_arrays([*cols, *(pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_())))], names=out.names)
 
     def encoded(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for g in groups(b.column(1)):
+            for g in groups(b.column(1), GROUP):
                 part = b.slice(at, len(g))
                 at += len(g)
                 given = {x["w"]: x["ids"] for own in part.column(2).to_pylist() for x in own} if part.num_columns > 2 else {}
                 lists, lacks = _encoded(g, given, path, model)
                 if last:
-                    yield finished(part.column(0), lists)
+                    yield finished(part.column(0), g, lists)
                 else:
-                    import pyarrow.compute as pc
-
-                    yield pa.RecordBatch.from_arrays([part.column(0), lists, pc.if_else(lists.is_null(), g, None), pa.array(lacks, pa.list_(pa.string()))], names=["row", "ids", "text", "lost"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), lists, g, pa.array(lacks, pa.list_(pa.string()))], names=["row", "ids", "text", "lost"])
 
     if complete:
         return rows.mapInArrow(lambda b: encoded(b, True), out)
@@ -441,7 +451,7 @@ def encode(spark: SparkSession, docs: DataFrame, keep: list[str], text_col: str
     gone = rest.select("key", F.explode("lost").alias("w")).join(known.select("w", F.col("ids").alias("own")), "w")
     gone = gone.groupBy("key").agg(F.collect_list(F.struct("w", F.col("own").alias("ids"))).alias("given"))
     again = rest.join(gone, "key").select("row", "text", "given").mapInArrow(lambda b: encoded(b, True), out)
-    done = first.where("ids is not null").select("row", "ids").mapInArrow(lambda batches: (finished(b.column(0), b.column(1)) for b in batches), out)
+    done = first.where("ids is not null").select("row", "text", "ids").mapInArrow(lambda batches: (finished(*b.columns) for b in batches), out)
     return done.unionByName(again)
 
 

@@ -151,7 +151,7 @@ def groups(column: pa.Array, size: int = 8 << 20) -> Iterator[pa.Array]:
     """A text column in slices of about so many bytes."""
     import pyarrow.compute as pc
 
-    at = np.append(0, np.cumsum(np.asarray(pc.binary_length(column), np.int64)))
+    at = np.append(0, np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)))
     k = 0
     while k < len(column):
         to = max(k + 1, int(np.searchsorted(at, at[k] + size, "right")) - 1)
