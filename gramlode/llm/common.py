@@ -18,19 +18,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where the session names none (tests) a local one is made."""
+    """The folder that all executors share; only on one machine, where the session names none, a local one is made."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own is None:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         own = made.get() if made.isDefined() else None
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="gramlode-")
         spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def own_folder(spark: SparkSession) -> str:
+    """The application's folder for intermediate tables in the shared one, removed when the driver's JVM ends."""
+    key = spark.sparkContext.applicationId
+    if key not in _FOLDERS:
+        _FOLDERS[key] = f"{shared_dir(spark).rstrip('/')}/gramlode-{key}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS[key])
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+    return _FOLDERS[key]
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:

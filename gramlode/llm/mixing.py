@@ -85,32 +85,31 @@ def plan(spark: SparkSession, sized: DataFrame, cycle: tuple[int, ...] = CYCLE,
 
 
 def mix(spark: SparkSession, docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """docs (doc_id, text, source) with size, source_size, target and copies (how often the mix takes the row).
+    """docs (doc_id, text, source) with _mix: struct of size, source_size, target and copies (how often the mix takes the
+    row).
 
     A null text has size 0. Null sources form one source, ordered last. Rows of one doc_id and source are taken alike.
-    A document is taken at most max_epochs times. An empty table gives no rows.
+    A document is taken at most max_epochs times. Texts of any length count whole. Rows travel as one struct, so extra
+    columns may have any name but _mix. An empty table gives no rows.
     """
-    own = [f"_own_{c}" for c in ("size", "source_size", "target", "copies")]
-    d = docs.withColumns({"_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "_u": draw(F.col("doc_id"), seed)})
-    sized = cut(spark, d.select("source", F.col("_size").alias("size"), "_u"))
-    p = checked(cut(spark, plan(spark, sized, cycle, max_epochs))).select(F.col("source").alias("_s"), F.col("source_size").alias(own[1]), F.col("target").alias(own[2]), "whole", "cut")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", size.alias("size"), draw(F.col("doc_id"), seed).alias("_u"))
+    sized = cut(spark, d.select("source", "size", "_u"))
+    p = checked(cut(spark, plan(spark, sized, cycle, max_epochs))).select(F.col("source").alias("_s"), "source_size", "target", "whole", "cut")
     j = d.join(p, F.col("source").eqNullSafe(F.col("_s")), "left")
     copies = F.least(F.col("whole") + (F.col("_u") < F.col("cut")).cast("long"), F.lit(max_epochs).cast("long"))
-    return j.withColumns({own[0]: F.col("_size"), own[3]: copies}).drop("_size", "_u", "_s", "whole", "cut")
+    return j.select("row.*", F.struct("size", "source_size", "target", copies.alias("copies")).alias("_mix"))
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row as often as it is taken, with the columns of the input."""
-    keep = [c for c in mixed.columns if not c.startswith("_own_")]
-    return mixed.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("_own_copies", F.lit(1).cast("long"))))).where(F.col("_own_copies") > 0).select(*keep)
+    taken = mixed.where(F.col("_mix.copies") > 0).withColumn("_mix", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix.copies"))))
+    return taken.drop("_mix")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mix(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return m.select(
-        "doc_id", F.col("_own_size").alias("size"), F.col("_own_source_size").alias("source_size"),
-        F.col("_own_target").alias("target"), (F.col("_own_size") * F.col("_own_copies")).alias("taken"), F.col("_own_copies").alias("copies"),
-    )
+    return m.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"), "_mix.copies")
 
 
 def _sql() -> str:

@@ -90,7 +90,9 @@ def count(spark: SparkSession, paths: DataFrame, end_id: int = END_ID, block: in
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """doc_id and n_tokens for each row of docs, counted in flat files that hold their ids. Repeated rows each count."""
+    """doc_id and n_tokens for each row of docs (doc_id, text; columns of other names, whatever they are, are ignored),
+    counted in flat files that hold their ids. A null or empty text has none. Repeated rows each count, texts of any
+    length are encoded whole, and an empty table gives none."""
     order = write_flat(spark, docs, folder or fresh_path(spark, "flat"))
     counts = count(spark, order.select("path").distinct())
     # either side grows with the documents, so neither is broadcast

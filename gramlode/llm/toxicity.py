@@ -10,6 +10,7 @@ of the restored text and their beginnings, trained on labelled documents, scores
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ SAMPLE, WIDTH, LEAST, THRESHOLD = 16_000, 4096, 4, 0.3
 MAX_CACHE = 200_000
 
 _TRIM = ".,;:!?\"'()[]{}<>%&*#¿¡"
-_SPACED = re.compile(r"(?<!\S)\S(?:[ ._*-]\S){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)[\"'(\[]?[^\s\"'(\[](?:(?:\s{1,2}|[._*-])[^\s.,;:!?\"')\]]){2,}[.,;:!?\"')\]]*(?!\S)")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _SIGN = re.compile("[" + re.escape("".join(LOOKS) + SEPARATORS.strip()) + "]")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -90,46 +91,59 @@ def disguised(token: str) -> bool:
     return bool(_LETTER.search(token)) and bool(_SIGN.search(token) or _STRETCHED.search(token))
 
 
-def decode(token: str, lm: list[float]) -> str:
-    """The likeliest text of a lower-case token, by Viterbi over states of the last two symbols."""
-    states: dict[tuple[int, int], float] = {(0, 0): 0.0}
-    steps: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
-    last, tail = "", max((i for i, ch in enumerate(token) if ch.isalpha()), default=-1)
+def options(token: str) -> list[list[tuple[str, float]]]:
+    """For each character of a lower-case token what it may stand for, and the channel's cost."""
+    out, last = [], ""
+    tail = max((i for i, ch in enumerate(token) if ch.isalpha()), default=-1)
     for at, ch in enumerate(token):
-        options: list[tuple[str, float]] = []  # what is written, channel cost
+        own: list[tuple[str, float]] = []
         if ch in LOOKS:
-            options += [(x, COST_LOOK) for x in LOOKS[ch]] + [("", COST_SIGN if at < tail else COST_TAIL)]
-        elif ch in SEPARATORS:
-            options += [("", COST_JOIN), (" ", COST_BREAK)]
-        elif ch.isalpha():
-            options.append((ch, 0.0))
+            own += [(x, COST_LOOK) for x in LOOKS[ch]] + [("", COST_SIGN if at < tail else COST_TAIL)]
+        elif ch in SEPARATORS or ch.isspace():
+            own += [("", COST_JOIN), (" ", COST_BREAK)]
         else:
-            options.append(("", 0.0))
+            own.append((ch if ch.isalpha() else "", 0.0))
         if ch == last and (ch.isalpha() or ch in LOOKS):
-            options.append(("", COST_STRETCH))
+            own.append(("", COST_STRETCH))
         last = ch
-        new: dict[tuple[int, int], float] = {}
-        back: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
-        for (a, b), cost in states.items():
-            for out, c in options:
-                if out == " " and b == 0:
-                    continue
+        out.append(own)
+    return out
+
+
+def decode(token: str, lm: list[float]) -> str:
+    """The likeliest text of a lower-case token, by Viterbi over states of the last two symbols.
+
+    Back pointers are kept in flat arrays, a few bytes for each state and character, so long tokens need little.
+    """
+    states: dict[tuple[int, int], tuple[float, int]] = {(0, 0): (0.0, 0)}  # cost, and place among the states of the step
+    before, wrote, starts = array("h"), array("i"), array("q")  # of each state: the state it came from, what was written
+    for own in options(token):
+        new: dict[tuple[int, int], list] = {}
+        for (a, b), (cost, place) in states.items():
+            row = (a * SYMBOLS + b) * SYMBOLS
+            for out, c in own:
                 if out == " ":
-                    to, total = (0, 0), cost + c + lm[(a * SYMBOLS + b) * SYMBOLS]
+                    if b == 0:
+                        continue
+                    to, total = (0, 0), cost + c + lm[row]
                 elif out:
                     s = symbol(out)
-                    to, total = (b, s), cost + c + lm[(a * SYMBOLS + b) * SYMBOLS + s]
+                    to, total = (b, s), cost + c + lm[row + s]
                 else:
                     to, total = (a, b), cost + c
-                if total < new.get(to, np.inf):
-                    new[to], back[to] = total, ((a, b), out)
-        states = new
-        steps.append(back)
-    end = min(states, key=lambda s: states[s] + (lm[(s[0] * SYMBOLS + s[1]) * SYMBOLS] if s[1] else 0.0))
-    out = []
-    for back in reversed(steps):
-        end, written = back[end]
-        out.append(written)
+                got = new.get(to)
+                if got is None or total < got[0]:
+                    new[to] = [total, place, out]
+        starts.append(len(before))
+        before.extend([x[1] for x in new.values()])
+        wrote.extend([ord(x[2]) if x[2] else 0 for x in new.values()])
+        states = {to: (x[0], i) for i, (to, x) in enumerate(new.items())}
+    at = min(states, key=lambda s: states[s][0] + (lm[(s[0] * SYMBOLS + s[1]) * SYMBOLS] if s[1] else 0.0))
+    place, out = states[at][1], []
+    for k in range(len(starts) - 1, -1, -1):
+        if wrote[starts[k] + place]:
+            out.append(chr(wrote[starts[k] + place]))
+        place = before[starts[k] + place]
     return "".join(reversed(out))
 
 
@@ -158,7 +172,7 @@ class Restorer:
         low, stems = text.lower(), self.stems
         counts: Counter = Counter()
         for m in _SPACED.finditer(low):
-            run = m.group()
+            run = m.group().strip(_TRIM)
             if len(set(run[::2])) > 1 and _LETTER.search(run):  # of one letter alone there is nothing to join
                 counts.update(decode(run, self.lm).split())
         stretched, total = _STRETCHED.search(low) is not None, 0
@@ -271,7 +285,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     lm = corpus_model(docs)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = cut(spark, known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text")  # sample rows at most
+    rows = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(known), "doc_id")  # sample rows at most
+    ids = rows.select("doc_id", F.xxhash64("text").alias("_h")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_h").limit(sample)
+    ids = F.broadcast(cut(spark, ids))  # sample rows at most, however often a doc_id is repeated
+    rows = rows.withColumn("_h", F.xxhash64("text")).join(ids, ["doc_id", "_h"], "left_semi").select("toxic", "text")
     shared = spark.sparkContext.broadcast(lm)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +304,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):
                 seen[y != 0].update({f for w in restore.words(t)[0] for f in features(w)} | {""})
-                if len(seen[0]) > 200_000:
+                if len(seen[0]) + len(seen[1]) > 200_000:
                     yield flush()
         yield flush()
 
@@ -326,8 +343,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
 def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """keep, _score (0 to 1) and _toxic (1 from the threshold on) for each row of docs (doc_id, text).
 
-    A null or empty text gets the score of a text without words. Repeated rows get equal scores; an empty table gives
-    none. Only the text decides the score.
+    A null or empty text gets the score of a text without words. Texts and tokens of any length are read whole. Repeated
+    rows get equal scores; an empty table gives none. Only the text decides the score. Columns kept may have any names
+    but _text, _score and _toxic.
     """
     model = spark.sparkContext.broadcast(train(spark, docs, labels))
     rows = docs.select(*keep, F.col("text").alias("_text"))

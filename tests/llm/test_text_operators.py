@@ -60,7 +60,7 @@ def test_quality_fences_differ_and_failed_rows_do_not_move_them(spark):
 
 def test_mixing_water_filling(spark, odd, empty):
     m = mixing.mix(spark, odd)
-    got = m.select("doc_id", "source", F.col("_own_size").alias("size"), F.col("_own_source_size").alias("all"), F.col("_own_target").alias("target"), F.col("_own_copies").alias("copies")).collect()
+    got = m.select("doc_id", "source", F.col("_mix.size").alias("size"), F.col("_mix.source_size").alias("all"), F.col("_mix.target").alias("target"), F.col("_mix.copies").alias("copies")).collect()
     size = {}
     for r in odd.collect():
         size[r.source] = size.get(r.source, 0) + len(WORD.findall(r.text or ""))
@@ -78,9 +78,12 @@ def test_mixing_water_filling(spark, odd, empty):
         free -= over
     for r in got:
         assert r.all == size[r.source] and r.target == pytest.approx(target[r.source]) and 0 <= r.copies <= 3
-    assert len(got) == odd.count() and rows_of(m.select("doc_id", "_own_copies")) == rows_of(mixing.mix(spark, odd).select("doc_id", "_own_copies"))
+    assert len(got) == odd.count() and rows_of(m.select("doc_id", "_mix.copies")) == rows_of(mixing.mix(spark, odd).select("doc_id", "_mix.copies"))
     assert mixing.repeated(m).count() == sum(r.copies for r in got) and mixing.repeated(m).columns == odd.columns
     assert mixing.mix(spark, empty).isEmpty()
+    clash = odd.select("*", F.lit(1).alias("whole"), F.lit(2).alias("cut"), F.lit(3).alias("_s"), F.lit(4).alias("size"), F.lit(5).alias("_own_x"), F.lit(6).alias("target"))
+    assert mixing.repeated(mixing.mix(spark, clash)).columns == clash.columns
+    assert rows_of(mixing.repeated(mixing.mix(spark, clash)).select(odd.columns)) == rows_of(mixing.repeated(m))
 
 
 def test_secrets(spark, odd, empty):
@@ -430,6 +433,42 @@ def test_toxicity_restores_and_scores(spark, odd, empty):
     assert toxicity.scored(spark, empty, labels, ["doc_id"]).isEmpty()
 
 
+def test_viterbi_equals_all_paths():
+    """Brute force: every path through the lattice of short tokens, priced by channel and character model."""
+    import itertools
+
+    rng = random.Random(4)
+    words = ["idiot", "stupid", "garden", "green", "calm", "moron", "stone"]
+    lm = toxicity.language_model(toxicity.trigram_counts(" ".join(rng.choice(words) for _ in range(400))))
+    S = toxicity.SYMBOLS
+
+    def price(path):
+        a = b = 0
+        total = 0.0
+        for out, c in path:
+            total += c
+            if out == " ":
+                if b == 0:
+                    return None
+                total += lm[(a * S + b) * S]
+                a = b = 0
+            elif out:
+                s = toxicity.symbol(out)
+                total += lm[(a * S + b) * S + s]
+                a, b = b, s
+        return total + (lm[(a * S + b) * S] if b else 0.0)
+
+    for _ in range(150):
+        token = "".join(rng.choice("idotsup1045$@._ aab") for _ in range(rng.randrange(2, 8)))
+        paths = [(price(p), "".join(o for o, _ in p)) for p in itertools.product(*toxicity.options(token))]
+        least = min(c for c, _ in paths if c is not None)
+        assert toxicity.decode(token, lm) in {t for c, t in paths if c is not None and c <= least + 1e-9}, token
+    long = "1d10t.$tup1d-" * 20_000
+    assert toxicity.decode(long, lm).startswith("idiot")
+    for text in ("i d i o t.", '"i d i o t"', "so i  d  i  o  t, he", "i\td\ti\to\tt"):
+        assert toxicity.Restorer(lm).words(text)[0]["idiot"] == 1, text
+
+
 def test_base_digests_are_stable(spark, odd):
     r = secrets.scan(odd.where("doc_id = 302"), ["doc_id"]).first()
     assert r.base_sha256 == hashlib.sha256(b"").hexdigest()

@@ -39,3 +39,46 @@ def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
         docs = spark.read.parquet(path)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert last.count() == docs.count() and docs.where("text like '%0a1b2c3d%'").isEmpty()
+
+
+def test_run_equals_its_stages_by_brute_force(spark, odd, tmp_path):
+    """run() on a small corpus: toxic documents gone, one of each group of copies, secrets masked, sources mixed, ids of
+    the library; each stage recomputed plainly from what the one before kept."""
+    from collections import Counter
+
+    from gramlode.llm import mixing, pieces, secrets
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for i in range(160):
+        text = " ".join(word() for _ in range(80))
+        if i % 5 == 0:
+            text += " you idiot and moron" * 4
+        if i % 7 == 0:
+            text += " token=" + "Zx9" * 8
+        rows.append((i, text, "en", f"s{i % 3}"))
+    rows += [(500 + i, rows[i][1], "en", "s1") for i in range(1, 40, 2)] + [(700, None, "en", "s0"), (701, "", None, None)]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.select("doc_id", ((F.col("doc_id") % 500 % 5 == 0) & (F.col("doc_id") < 700)).cast("int").alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    got = Counter((r.doc_id, r.n_pieces, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    enc, sp = secrets.encoding(secrets.VOCABULARY), pieces.processor(pieces.MODEL)
+    clean = [r for r in rows if "idiot" not in (r[1] or "")]
+    first = {}
+    for r in sorted(clean):
+        first.setdefault(r[1], r)  # the texts are copies or share nothing
+
+    def mask(t):
+        for s, e, _ in reversed(secrets.covered(secrets.find(t, enc)[1])):
+            t = t[:s] + "[SECRET]" + t[e:]
+        return t
+
+    kept = [(r[0], r[1] and mask(r[1]), r[2], r[3]) for r in first.values()]
+    mixed = mixing.mix(spark, spark.createDataFrame(kept, "doc_id long, text string, lang string, source string")).select("doc_id", "_mix.copies").collect()
+    copies = {r.doc_id: r.copies for r in mixed}
+    want = Counter()
+    for i, t, _, _ in kept:
+        ids = sp.encode(t or "")
+        want[i, len(ids), tuple(ids)] += copies[i]
+    assert got == +want and all(500 > i or i >= 700 for i, _, _ in got)
