@@ -8,6 +8,7 @@ Signed 64-bit columns hold the unsigned bit patterns.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from functools import lru_cache, partial
 
@@ -179,6 +180,38 @@ def hash_windows(seq: str, k: int, seed: int = 0, canonical: bool = True) -> tup
     return starts, np.where(h == 0, np.uint64(1), h)
 
 
+#: Longest k-mer that two bits a nucleotide fit into a bigint.
+PACKED = 31
+
+
+def packed_windows(seq: str, k: int, canonical: bool = True) -> np.ndarray:
+    """Packed forms (see packed) of all windows of k letters A, C, G, T; canonical: the lesser of both strands."""
+    c = _codes(seq)
+    n = len(c) - k + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    bad = np.concatenate([[0], np.cumsum(c == 4)])
+    f, r = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(k):
+        w = c[i : i + n].astype(np.int64)
+        f = f << 2 | w
+        if canonical:
+            r |= 3 - w << 2 * i
+    return (np.minimum(f, r) if canonical else f)[bad[k:] == bad[:-k]]
+
+
+def hash_packed(codes: np.ndarray, k: int, seed: int = 0, canonical: bool = True) -> np.ndarray:
+    """Unsigned hashes of packed k-mers, equal to those of their letters."""
+    h, r = np.zeros(len(codes), np.uint64), np.zeros(len(codes), np.uint64)
+    for i, (x, y) in enumerate(zip(*place_values(k, seed), strict=True)):
+        w = codes >> 2 * (k - 1 - i) & 3
+        h ^= np.array(x, np.uint64)[w]
+        if canonical:
+            r ^= np.array(y, np.uint64)[w]
+    h = _np_mix(h + r)
+    return np.where(h == 0, np.uint64(1), h)
+
+
 def more_hashes(h1: np.ndarray, h2: np.ndarray, count: int) -> list[np.ndarray]:
     """count hash values from two by xorshift128+."""
     out, s0, s1 = [h1, h2], h1, h2
@@ -212,3 +245,45 @@ def bit_checksum(bits: str) -> int:
         for _ in range(8):
             crc = crc >> 1 ^ (0xEDB88320 if crc & 1 else 0)
     return crc
+
+
+def _raw_crc(data: bytes, start: int = 0) -> int:
+    """The checksum of bytes behind a start value, by zlib, whose inversions before and after are undone."""
+    return zlib.crc32(data, start ^ 0xFFFFFFFF) ^ 0xFFFFFFFF
+
+
+def chunk_checksum(at: np.ndarray, bits: int) -> int:
+    """bit_checksum of a chunk of so many bits with ones at the given places."""
+    row = np.zeros(-(-bits // 8) * 8, np.uint8)
+    row[at] = 1
+    return _raw_crc(np.packbits(row).tobytes())
+
+
+def _times(matrix: list[int], v: int) -> int:
+    out = 0
+    for i, row in enumerate(matrix):
+        if v >> i & 1:
+            out ^= row
+    return out
+
+
+@lru_cache(maxsize=64)
+def _zeros(count: int) -> tuple[int, ...]:
+    """The matrix over bits that so many zero bytes apply to a checksum, by squaring."""
+    if count == 0:
+        return tuple(1 << i for i in range(32))
+    if count == 1:
+        return tuple(_raw_crc(b"\0", 1 << i) for i in range(32))
+    half = _zeros(count // 2)
+    both = [_times(half, x) for x in half]
+    return tuple(_times(_zeros(1), x) for x in both) if count % 2 else tuple(both)
+
+
+def joined_checksum(chunks: list[tuple[int, int]], num_bits: int, size: int) -> int:
+    """Checksum of a vector from its chunks' numbers and checksums, in order; chunks that are missing hold zeros."""
+    crc, at = 0, 0
+    for chunk, own in chunks:
+        end = min((chunk + 1) * size, num_bits)
+        crc = _times(_zeros(-(-end // 8) - -(-at // 8)), crc) ^ own
+        at = end
+    return _times(_zeros(-(-num_bits // 8) - -(-at // 8)), crc)

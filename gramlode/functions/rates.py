@@ -50,7 +50,7 @@ def query_rate_bound(size: Column, eps: Column | float, rate: Column) -> Column:
 
 def query_false_positive_rate(n: int, theta: float, containment: float, rate: float) -> float:
     """Chance that a query of n k-mers, of which a share is truly there, passes at theta by false hits alone."""
-    there = round(containment * n)
+    there = math.floor(containment * n + 0.5)  # halves go up
     free, need = n - there, math.ceil(theta * n) - there
     if need <= 0:
         return 1.0

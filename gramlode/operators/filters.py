@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rates import false_positive_rate
-from .kmers import FilterSpec, canonical_text, count_kmers, kmers, positions
+from ..functions.hashing import PACKED
+from .kmers import FilterSpec, canonical_text, count_kmers, kmers, packed_counts, packed_positions, positions
 
 
 def describe(ids: DataFrame, spec: FilterSpec, kind: str = "simple") -> DataFrame:
@@ -23,13 +24,16 @@ def build(sequences: DataFrame, spec: FilterSpec, least: int = 1, filter_id: str
 
     With an abundance of 1, positions are hashed straight from sequences and only distinct ones are shuffled; the set
     size, which needs the k-mers themselves, is a separate column that costs nothing unless it is read. With a higher
-    abundance k-mers are counted first.
+    abundance k-mers are counted first. K-mers of up to 31 letters are counted packed, two bits a letter.
     """
     s = sequences.select(F.col(filter_id).alias("filter_id"), F.col(seq).alias("seq"))
-    counted = count_kmers(kmers(s, spec.k), ["filter_id"], spec.canonical, least)
+    short = spec.k <= PACKED
+    counted = packed_counts(s, spec.k, "filter_id", "seq", spec.canonical, least) if short else count_kmers(kmers(s, spec.k), ["filter_id"], spec.canonical, least)
     sizes = s.select("filter_id").distinct().join(counted.groupBy("filter_id").agg(F.count("*").alias("set_size")), "filter_id", "left").fillna(0, ["set_size"])
-    source = s if least <= 1 else counted.select("filter_id", F.col("mer").alias("seq"))
-    bits = positions(source, spec, distinct_in_row=True).distinct()
+    if least <= 1:
+        bits = positions(s, spec, distinct_in_row=True).distinct()
+    else:
+        bits = (packed_positions(counted, spec, "filter_id") if short else positions(counted.select("filter_id", F.col("mer").alias("seq")), spec)).distinct()
     return describe(sizes, spec), bits.select("filter_id", F.lit(0).alias("vector_ix"), "pos")
 
 
@@ -91,10 +95,24 @@ def check_consistent(filters: DataFrame) -> None:
         raise ValueError(f"filters differ in {', '.join(bad)}")
 
 
+def contained(mers: DataFrame, filters: DataFrame, bits: DataFrame, spec: FilterSpec) -> DataFrame:
+    """mers: mer. filter_id, mer of the k-mers that a filter contains: it has as many of their positions as they need.
+
+    Only k-mers whose positions all lie outside the filter, which every filter contains, are paired with the filters.
+    """
+    m = mers.select("mer").distinct()
+    p = positions(m.select("mer", F.col("mer").alias("seq")), spec).distinct()
+    need = p.groupBy("mer").agg(F.count("*").alias("need"))
+    got = p.join(bits.select("filter_id", "pos"), "pos").groupBy("filter_id", "mer").agg(F.count("*").alias("got"))
+    free = filters.select("filter_id").join(m.join(need, "mer", "left_anti"))
+    return got.join(need, "mer").where("got = need").select("filter_id", "mer").unionByName(free)
+
+
 def contains(mers: DataFrame, filters: DataFrame, bits: DataFrame, spec: FilterSpec) -> DataFrame:
     """mers: mer. filter_id, mer, present: all positions of the k-mer that lie in the filter are set.
 
-    A k-mer whose positions all lie outside is contained.
+    A k-mer whose positions all lie outside is contained. The answer has a row for each pair; contained gives the present
+    ones without making pairs.
     """
     m = mers.select(canonical_text(F.col("mer")).alias("_c") if spec.canonical else F.col("mer").alias("_c"), "mer").distinct()
     p = positions(m.select("mer", F.col("mer").alias("seq")), spec).distinct()

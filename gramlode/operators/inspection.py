@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import time
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rates import false_positive_rate
 from .bits import ordinals
 from .tree import parents
 
 
+#: Bits of a chunk of a checksum, a multiple of 8.
+CHECKSUM_BITS = 1 << 20
+
+
 def node_stats(nodes: DataFrame, closure: DataFrame, filters: DataFrame | None = None, node_bits: DataFrame | None = None) -> DataFrame:
     """node, depth (a root has 1), height (a leaf has 1), subtree (nodes), siblings, niblings (children of siblings),
     leaves; with filters also items and fp_rate; with node_bits (node, vector, pos) ones of each vector as a map."""
@@ -73,6 +79,13 @@ def allsome_stats(vectors: DataFrame, nodes: DataFrame, num_bits: int) -> DataFr
     return r.select("node", "bits", F.col("n_all").alias("present"), (F.col("bits") - F.col("n_all") - F.col("n_some")).alias("absent"), F.col("n_some").alias("unresolved"))
 
 
+def allsome_totals(stats: DataFrame) -> DataFrame:
+    """present, absent and their shares in percent over all nodes of allsome_stats."""
+    t = stats.agg(F.sum("present").alias("present"), F.sum("absent").alias("absent"))
+    both = F.col("present") + F.col("absent")
+    return t.select("present", "absent", F.try_divide(100.0 * F.col("present"), both).alias("present_pct"), F.try_divide(100.0 * F.col("absent"), both).alias("absent_pct"))
+
+
 def siblings(nodes: DataFrame) -> DataFrame:
     """grp, names: the children of each inner node, in order."""
     return nodes.groupBy("parent_ix").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_ix", "name"))), lambda x: x["name"]).alias("names"))
@@ -108,17 +121,28 @@ def integers(ones: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def checksum(ones: DataFrame, keys: list[str], num_bits: int) -> DataFrame:
-    """keys, checksum of the vector's bits. A checksum over all bits in order is one fold over a vector's packed words."""
-    import pandas as pd
-
-    from ..functions.hashing import bit_checksum
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        on = set(rows["pos"])
-        return pd.DataFrame([[*key, bit_checksum("".join("1" if i in on else "0" for i in range(num_bits)))]], columns=[*keys, "checksum"])
-
-    schema = ones.select(*keys).schema.add("checksum", "long")
-    return ones.select(*keys, "pos").groupBy(*keys).applyInPandas(one, schema)
+    """keys, checksum of the vector's bits in order: chunks are summed where they are, and their sums joined in order."""
+    from ..functions.hashing import chunk_checksum, joined_checksum
+
+    size = CHECKSUM_BITS
+
+    def chunks(batches):
+        for b in batches:
+            cols = b.columns
+            crc = [chunk_checksum(p.values.to_numpy(), min(size, num_bits - size * c)) for c, p in zip(cols[-2].to_pylist(), cols[-1], strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols[:-1], pa.array(crc, pa.int64())], names=[*b.schema.names[:-1], "crc"])
+
+    def fold(batches):
+        for b in batches:
+            cols = b.columns
+            crc = [joined_checksum([(x["chunk"], x["crc"]) for x in c.as_py()], num_bits, size) for c in cols[-1]]
+            yield pa.RecordBatch.from_arrays([*cols[:-1], pa.array(crc, pa.int64())], names=[*b.schema.names[:-1], "checksum"])
+
+    c = ones.groupBy(*keys, F.floor(F.col("pos") / size).cast("long").alias("chunk")).agg(F.collect_list(F.pmod("pos", F.lit(size))).alias("at"))
+    own = ones.select(*keys).schema
+    each = c.mapInArrow(chunks, T.StructType([*own.fields]).add("chunk", "long").add("crc", "long"))
+    whole = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", "crc"))).alias("all"))
+    return whole.mapInArrow(fold, T.StructType([*own.fields]).add("checksum", "long"))
 
 
 def load_test(bits: DataFrame, num_bits: int, lookups: int = 100_000, seed: int = 0) -> dict:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_windows, more_hashes
+from ..functions.hashing import PACKED, hash_packed, hash_windows, more_hashes, packed_windows
 
 #: Rows of an Arrow batch that leaves a task.
 BATCH = 1 << 18
@@ -72,6 +72,62 @@ def count_kmers(mers: DataFrame, keys: list[str], canonical: bool = True, least:
     return c.where(F.col("n") >= least) if least > 1 else c
 
 
+#: Windows of one key that a task counts at once.
+WINDOWS = 1 << 21
+
+
+def packed_counts(sequences: DataFrame, k: int, key: str, seq: str = "seq", canonical: bool = True, least: int = 1) -> DataFrame:
+    """key, code, n: abundance of packed k-mers (k of 31 or fewer). Tasks count up to WINDOWS windows of a key at once, so
+    that one row for each distinct k-mer, a pair of longs, is shuffled and combined."""
+    if k > PACKED:
+        raise ValueError(f"k-mers of more than {PACKED} letters are counted as text")
+    rows = sequences.select(F.col(key), F.col(seq).alias("_seq"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        names = rows_names
+
+        def flush(own) -> pa.RecordBatch:
+            codes, n = np.unique(np.concatenate(held.pop(own)[1]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array([own] * len(codes), kind), pa.array(codes), pa.array(n)], names=names)
+
+        for b in batches:
+            kind = b.column(0).type
+            for own, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                codes = packed_windows(s.as_py() or "", k, canonical)
+                if len(codes):
+                    kept = held.setdefault(own, [0, []])
+                    kept[0] += len(codes)
+                    kept[1].append(codes)
+                    if kept[0] >= WINDOWS:
+                        yield flush(own)
+            while sum(n for n, _ in held.values()) > 2 * WINDOWS:
+                yield flush(max(held, key=lambda x: held[x][0]))
+        for own in list(held):
+            yield flush(own)
+
+    rows_names = [key, "code", "n"]
+    found = rows.mapInArrow(run, rows.select(key).schema.add("code", "long").add("n", "long"))
+    c = found.groupBy(key, "code").agg(F.sum("n").alias("n"))
+    return c.where(F.col("n") >= least) if least > 1 else c
+
+
+def packed_positions(codes: DataFrame, spec: FilterSpec, key: str) -> DataFrame:
+    """key, pos of packed k-mers (key, code), those outside the filter left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = np.asarray(b.column(1), np.int64)
+            h = [hash_packed(c, spec.k, spec.seed1, spec.canonical)]
+            if spec.num_hashes > 1:
+                h = more_hashes(h[0], hash_packed(c, spec.k, spec.seed2, spec.canonical), spec.num_hashes)
+            pos = np.concatenate([x % np.uint64(spec.range) for x in h])
+            rep = np.tile(np.arange(len(c)), len(h))[pos < np.uint64(spec.num_bits)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rep)), pa.array(pos[pos < np.uint64(spec.num_bits)].astype(np.int64))], names=[key, "pos"])
+
+    return codes.select(key, "code").mapInArrow(run, codes.select(key).schema.add("pos", "long"))
+
+
 def positions(sequences: DataFrame, spec: FilterSpec, seq: str = "seq", keep: list[str] | None = None, distinct_in_row: bool = False) -> DataFrame:
     """keep, pos: one row for each k-mer occurrence (or distinct position of a row) whose position lies in the filter.
 

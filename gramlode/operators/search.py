@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rates import adjusted_hits, false_positive_rate, needed, needed_to_fail
 from ..plans.sizes import checked
-from .kmers import FilterSpec, kmers, position_column, positions
+from .kmers import FilterSpec, kmers, packed_counts, position_column, positions
 
 
 def query_positions(queries: DataFrame, spec: FilterSpec, distinct: bool = False) -> DataFrame:
@@ -43,7 +43,7 @@ def search(queries: DataFrame, filters: DataFrame, bits: DataFrame, spec: Filter
     queries: batch_ix, name, seq, threshold. A query without searchable k-mers has no match; at theta 0 all filters
     match every other query. Adjusting needs the set sizes of the filters.
     """
-    qpos = query_positions(queries, spec, distinct)
+    qpos = query_positions(queries, spec, distinct).persist()  # a few rows for each query, read three times
     sizes = query_sizes(queries, qpos).where("n > 0")
     m = hit_counts(qpos, bits).join(sizes, "batch_ix").where("hits >= need")
     m = m.select("batch_ix", "name", "filter_id", "hits", "n")
@@ -79,7 +79,7 @@ def all_hits(queries: DataFrame, filters: DataFrame, bits: DataFrame, spec: Filt
     """batch_ix, name, filter_id, hits, n, is_hit for every pair of a query with k-mers and a simple filter."""
     if filters.where("kind <> 'simple'").limit(1).count():
         raise ValueError("counting all hits needs simple filters")
-    qpos = query_positions(queries, spec, distinct)
+    qpos = query_positions(queries, spec, distinct).persist()
     sizes = query_sizes(queries, qpos).where("n > 0")
     pairs = sizes.join(filters.select("filter_id"))  # the answer itself has a row for each pair
     h = pairs.join(hit_counts(qpos, bits), ["batch_ix", "filter_id"], "left").fillna(0, ["hits"])
@@ -113,8 +113,14 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def exact_search(queries: DataFrame, sets: DataFrame, k: int) -> DataFrame:
-    """The same search on k-mers themselves, without hashing: a control. sets: filter_id, mer (distinct)."""
-    q = kmers(queries.select("batch_ix", "seq"), k).groupBy("batch_ix", "mer").agg(F.count("*").alias("c"))
+    """The same search on k-mers themselves, without hashing: a control. sets: filter_id and distinct k-mers, packed
+    (code, k of 31 or fewer) or as text (mer)."""
+    if "code" in sets.columns:
+        q = packed_counts(queries, k, "batch_ix", canonical=False).select("batch_ix", F.col("code").alias("mer"), F.col("n").alias("c"))
+        sets = sets.select("filter_id", F.col("code").alias("mer"))
+    else:
+        q = kmers(queries.select("batch_ix", "seq"), k).groupBy("batch_ix", "mer").agg(F.count("*").alias("c"))
+    q = q.persist()
     n = queries.select("batch_ix", "name", "threshold").join(q.groupBy("batch_ix").agg(F.sum("c").alias("n")), "batch_ix")
     small, _ = checked(q)
     h = sets.join(small, "mer").groupBy("batch_ix", "filter_id").agg(F.sum("c").alias("hits"))

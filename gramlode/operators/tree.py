@@ -106,9 +106,10 @@ def ancestors(nodes: DataFrame) -> DataFrame:
 
 
 def node_query_stats(qpos: DataFrame, sizes: DataFrame, counts: DataFrame, nodes: DataFrame, kind: str = "determined", complete: bool = True) -> DataFrame:
-    """batch_ix, node, examined, passed, failed, n_pass, n_fail, n_unresolved for every query with k-mers and node.
+    """batch_ix, node, examined, passed, failed, n_pass, n_fail, n_unresolved, local_pass, local_fail for every query with
+    k-mers and node.
 
-    Counts are those of all positions of the query against the node's leaves. A node is examined if no proper ancestor
+    Local counts are those that the node's parent leaves unresolved and the node resolves. Other counts are those of all positions of the query against the node's leaves. A node is examined if no proper ancestor
     has passed or failed. Simple trees do not pass above leaves; in complete mode no tree does.
     """
     hits = qpos.withColumnRenamed("c", "c_q").join(counts, "pos").groupBy("batch_ix", "node").agg(F.sum("c_q").alias("some"), F.sum(F.when(F.col("c") == F.col("n_leaves"), F.col("c_q")).otherwise(0)).alias("n_pass"))
@@ -122,7 +123,13 @@ def node_query_stats(qpos: DataFrame, sizes: DataFrame, counts: DataFrame, nodes
     decided = j.where("passed or failed").select("batch_ix", F.col("node").alias("ancestor"))
     hidden = ancestors(nodes).join(decided, "ancestor").select("batch_ix", "node").distinct().withColumn("_hidden", F.lit(True))
     j = j.join(hidden, ["batch_ix", "node"], "left").withColumn("examined", F.col("_hidden").isNull())
-    return j.select("batch_ix", "node", "examined", (F.col("examined") & F.col("passed")).alias("passed"), (F.col("examined") & F.col("failed")).alias("failed"), "n_pass", "n_fail", "n_unresolved")
+    above = j.join(parents(nodes).where("parent is not null"), "node").select("batch_ix", "node", "parent")
+    above = above.join(j.select("batch_ix", F.col("node").alias("parent"), F.col("n_pass").alias("_pass"), F.col("n_fail").alias("_fail")), ["batch_ix", "parent"]).drop("parent")
+    j = j.join(above, ["batch_ix", "node"], "left").fillna(0, ["_pass", "_fail"])
+    return j.select(
+        "batch_ix", "node", "examined", (F.col("examined") & F.col("passed")).alias("passed"), (F.col("examined") & F.col("failed")).alias("failed"),
+        "n_pass", "n_fail", "n_unresolved", (F.col("n_pass") - F.col("_pass")).alias("local_pass"), (F.col("n_fail") - F.col("_fail")).alias("local_fail"),
+    )
 
 
 def nodes_examined(stats: DataFrame) -> DataFrame:

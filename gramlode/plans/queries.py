@@ -8,6 +8,7 @@ and trees from the geography: region over nation, a nation's leaf holding the pa
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import hashing, rates, sequences
@@ -19,13 +20,15 @@ from ..operators import inspection as I
 from ..operators import kmers as K
 from ..operators import search as S
 from ..operators import tree as T
+from ..sources import filters as sources
 from ..sources import topology
+from .sizes import index_folder
 
 SPEC = K.FilterSpec(k=20, num_bits=800_000)
 SAMPLED = K.FilterSpec(k=20, num_bits=200_000, modulus=800_000)
 TWO = K.FilterSpec(k=20, num_bits=4_000_000, num_hashes=2, seed1=0, seed2=1)
 THETA = 0.7
-VECTOR_BITS, TREE_BITS = 4096, 512
+VECTOR_BITS, TREE_BITS = 4096, 16384
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -57,15 +60,15 @@ def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def leaf_bits(spark: SparkSession, d: str) -> DataFrame:
-    li = t(spark, d, "lineitem").where("l_quantity >= 25").select("l_suppkey", "l_partkey")
+    li = t(spark, d, "lineitem").select("l_suppkey", "l_partkey")
     s = t(spark, d, "supplier").join(t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     leaf = F.concat(F.lit("N_"), F.replace("n_name", F.lit(" "), F.lit("_")))
     return li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(leaf.alias("filter_id"), (F.col("l_partkey") * 7 % TREE_BITS).alias("pos")).distinct()
 
 
 def brand_positions(spark: SparkSession, d: str) -> DataFrame:
-    """Queries for the tree: the parts of small size of each brand."""
-    p = t(spark, d, "part").where("p_size <= 5").select(F.regexp_extract("p_brand", "[0-9]+", 0).cast("int").alias("batch_ix"), (F.col("p_partkey") * 7 % TREE_BITS).alias("pos"))
+    """Queries for the tree: the parts of each brand."""
+    p = t(spark, d, "part").select(F.regexp_extract("p_brand", "[0-9]+", 0).cast("int").alias("batch_ix"), (F.col("p_partkey") * 7 % TREE_BITS).alias("pos"))
     return p.groupBy("batch_ix", "pos").agg(F.count("*").alias("c"))
 
 
@@ -97,12 +100,12 @@ def _active(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def kmer_counts(spark, d):
-    m = K.kmers(experiments(spark, d), 20)
-    return m.groupBy("filter_id", "mer").agg(F.count("*").alias("n")).groupBy("filter_id").agg(F.sum("n").alias("kmers"), F.count("*").alias("distinct_kmers"))
+    m = K.packed_counts(experiments(spark, d), 20, "filter_id", canonical=False)
+    return m.groupBy("filter_id").agg(F.sum("n").alias("kmers"), F.count("*").alias("distinct_kmers"))
 
 
 def kmer_min_abundance(spark, d):
-    c = K.count_kmers(K.kmers(experiments(spark, d), 20), ["filter_id"], least=2)
+    c = K.packed_counts(experiments(spark, d), 20, "filter_id", least=2)
     return c.groupBy("filter_id").agg(F.count("*").alias("kept"), F.sum("n").alias("occurrences"), F.max("n").alias("most"))
 
 
@@ -165,12 +168,12 @@ def query_filter_kmers(spark, d):
 def multi_hash_contains(spark, d):
     f, b = _filters(spark, d, TWO)
     m = K.kmers(passages(spark, d), 20, keep=[]).distinct()
-    return FL.contains(m, f.select("filter_id"), b, TWO).where("present").groupBy("filter_id").agg(F.count("*").alias("contained"))
+    return FL.contained(m, f.select("filter_id"), b, TWO).groupBy("filter_id").agg(F.count("*").alias("contained"))
 
 
 def exact_theta_query(spark, d):
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("filter_id"), sequences.text_to_nucleotides(F.col("text")).alias("seq"))
-    sets = K.kmers(docs, 20).distinct()
+    sets = K.packed_counts(docs, 20, "filter_id", canonical=False).select("filter_id", "code")
     return S.exact_search(passages(spark, d), sets, 20)
 
 
@@ -214,7 +217,7 @@ bits_density = _unary(lambda s, v: B.density(v, VECTOR_BITS, 100, 1100))
 bits_counts = _unary(lambda s, v: B.counts(v, "y1995", "y1996", VECTOR_BITS))
 bits_bitmaps = _unary(lambda s, v: B.bucket_ones(B.union_buckets(B.to_buckets(v.where("vec in ('y1995', 'y1996')")))))
 bits_dump = _unary(lambda s, v: I.dump(v, ["vec"], VECTOR_BITS, 0, 100))
-bits_integers = _unary(lambda s, v: I.integers(v.where("vec <> 'y1995'"), ["vec"]))
+bits_integers = _unary(lambda s, v: I.integers(v, ["vec"]))
 distance_hamming = _unary(lambda s, v: D.distances(v, "hamming"))
 distance_intersection = _unary(lambda s, v: D.distances(v, "intersection", start=8, end=2000))
 distance_union = _unary(lambda s, v: D.distances(v, "union"))
@@ -252,7 +255,7 @@ def brief_lengths(spark, d):
 
 def tree_lookup(spark, d):
     nodes, _, counts = _tree(spark, d)
-    asked = nodes.select(F.col("name").alias("node")).join(spark.range(0, TREE_BITS, 5).withColumnRenamed("id", "pos"))
+    asked = nodes.select(F.col("name").alias("node")).join(spark.range(TREE_BITS).withColumnRenamed("id", "pos"))
     return T.lookup(counts, asked, "determined,brief", nodes)
 
 
@@ -314,10 +317,104 @@ def depth_histogram(spark, d):
 
 
 def tree_validation(spark, d):
+    """A union tree with an error planted: a region has lost the positions that five divides."""
     nodes, _, counts = _tree(spark, d)
-    bad = T.union_differences(T.union_tree(counts), nodes)
-    lonely = T.only_children(nodes)
-    return bad.agg(F.count("*").alias("differences")).join(lonely.agg(F.count("*").alias("only_children")))
+    return T.union_differences(T.union_tree(counts).where("node <> 'R_ASIA' or pos % 5 <> 0"), nodes)
+
+
+def tree_names(spark, d):
+    """Names of nodes against filters: one filter lost, one without a node, one node repeated."""
+    nodes = tree_nodes(spark, d)
+    named = nodes.select("name").unionByName(nodes.where("name = 'R_AFRICA'").select("name"))
+    ids = nodes.where("name <> 'R_EUROPE'").select(F.col("name").alias("filter_id")).unionByName(spark.range(1).select(F.lit("N_ATLANTIS").alias("filter_id")))
+    return T.invalid_names(named, ids)
+
+
+def lonely_nodes(spark, d):
+    """Only children where each region keeps the nations whose key leaves a remainder below two."""
+    nodes = tree_nodes(spark, d)
+    keys = t(spark, d, "nation").where("n_nationkey % 7 < 2").select(F.concat(F.lit("N_"), F.replace("n_name", F.lit(" "), F.lit("_"))).alias("name"))
+    return T.only_children(nodes.where("depth < 2").unionByName(nodes.join(keys, "name", "left_semi").select(nodes.columns)))
+
+
+_INDEX: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark, d):
+    """The filters of the experiments, written once for each application and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEX:
+        path = index_folder(spark)
+        sources.write(*_filters(spark, d), path)
+        _INDEX[key] = path
+    return sources.read(spark, _INDEX[key])
+
+
+def theta_query_stored(spark, d):
+    return S.search(passages(spark, d), *stored_index(spark, d), SPEC)
+
+
+def theta_query_in_tree_order(spark, d):
+    """Ranked by the order of the leaves of a tree, here names from the last to the first."""
+    f, b = _filters(spark, d)
+    order = f.select("filter_id", (-F.row_number().over(W.orderBy("filter_id"))).alias("ord"))
+    return S.ranked(S.search(passages(spark, d), f, b, SPEC), None, order)
+
+
+def theta_zero(spark, d):
+    f, b = _filters(spark, d)
+    return S.search(passages(spark, d, 0.0), f, b, SPEC)
+
+
+def min_abundance_positions(spark, d):
+    _, b = FL.build(experiments(spark, d), SPEC, least=2)
+    return b.groupBy("filter_id").agg(F.count("*").alias("ones"), F.min("pos").alias("lowest"), F.max("pos").alias("highest"), F.sum("pos").alias("total"))
+
+
+def max_depth(spark, d):
+    return I.max_depth(tree_nodes(spark, d))
+
+
+def renumbered_tree(spark, d):
+    return topology.lines(I.renumbered(tree_nodes(spark, d)), "name")
+
+
+def sibling_groups(spark, d):
+    return I.siblings(tree_nodes(spark, d)).select(F.array_join("names", " ").alias("names"))
+
+
+def subtree_nodes(spark, d):
+    return I.subtree(tree_nodes(spark, d), "R_EUROPE").select("name")
+
+
+def bit_stats_view(spark, d):
+    return I.bit_stats_view(I.bit_stats(_active(spark, d)[1])).withColumn("s_x", F.round("s_x", 9))
+
+
+def allsome_totals(spark, d):
+    nodes, _, counts = _tree(spark, d)
+    s = I.allsome_totals(I.allsome_stats(T.allsome_tree(counts, nodes), nodes, TREE_BITS))
+    return s.withColumns({c: F.round(c, 6) for c in ("present_pct", "absent_pct")})
+
+
+def node_stat_items(spark, d):
+    """Statistics of nodes with the items and rates of their filters and the ones of their vectors."""
+    nodes, closure, counts = _tree(spark, d)
+    bits = leaf_bits(spark, d)
+    filters = FL.describe(bits.groupBy("filter_id").agg(F.count("*").alias("set_size")), K.FilterSpec(num_bits=TREE_BITS))
+    s = I.node_stats(nodes, closure, filters, T.allsome_tree(counts, nodes))
+    return s.where("items is not null").select("node", "items", F.round("fp_rate", 9).alias("fp_rate"), F.coalesce(F.col("ones")["all"], F.lit(0)).alias("n_all"), F.coalesce(F.col("ones")["some"], F.lit(0)).alias("n_some"))
+
+
+def constant_filters(spark, d):
+    """Filters of ones and of zeros like those of the experiments."""
+    spec = K.FilterSpec(num_bits=VECTOR_BITS)
+    out = [FL.constant(spark, name, spec, ones)[1] for name, ones in (("full", True), ("none", False))]
+    return B.density(vectors(spark, d).unionByName(out[0].unionByName(out[1]).select(F.col("filter_id").alias("vec"), "pos")), VECTOR_BITS)
+
+
+def random_vector_exact(spark, d):
+    return B.density(FL.random_vector(spark, 100_000, seed=7, ones=12_345).withColumn("vec", F.lit("random")), 100_000)
 
 
 def cluster_topology(spark, d):
@@ -349,7 +446,9 @@ QUERIES = {f.__name__: f for f in (
     kmer_counts, kmer_min_abundance, kmer_hashes, filter_positions, filter_stats, theta_query, theta_query_distinct, theta_query_sampled, theta_query_adjusted, theta_query_counts,
     count_all_hits, query_kmer_counts, query_filter_kmers, multi_hash_contains, exact_theta_query, sequence_functions, name_functions, position_checksum,
     node_union, node_intersection, node_allsome, node_determined, node_brief, brief_lengths, tree_lookup, tree_search, nodes_examined, node_query_stats, det_ratio, cull_threshold,
-    node_stats, bit_stats, allsome_stats, forest_stats, topology_lines, depth_histogram, tree_validation, cluster_topology, compare_results, filter_size, query_fp_bound,
+    node_stats, bit_stats, allsome_stats, forest_stats, topology_lines, depth_histogram, tree_validation, tree_names, lonely_nodes, cluster_topology,
+    theta_query_stored, theta_query_in_tree_order, theta_zero, min_abundance_positions, max_depth, renumbered_tree, sibling_groups, subtree_nodes, bit_stats_view, allsome_totals,
+    node_stat_items, constant_filters, random_vector_exact, compare_results, filter_size, query_fp_bound,
 )} | {n: globals()[n] for n in (
     "bits_and", "bits_or", "bits_xor", "bits_eq", "bits_not", "bits_mask", "bits_ornot", "bits_squeeze", "bits_unsqueeze", "bits_rank", "bits_select1", "bits_select0", "bits_simplify",
     "bits_density", "bits_counts", "bits_bitmaps", "bits_dump", "bits_integers", "distance_hamming", "distance_intersection", "distance_union", "distance_jaccard", "distance_theta", "random_vector",

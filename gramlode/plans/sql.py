@@ -85,7 +85,7 @@ _TREE = f"""nodes AS (SELECT 'root' AS node, NULL AS parent, 0 AS depth, false A
 pre AS (SELECT *, (row_number() OVER (ORDER BY o) - 1)::INTEGER AS node_ix FROM nodes),
 closure AS (SELECT node, node AS leaf FROM nodes WHERE is_leaf UNION ALL SELECT parent, node FROM nodes WHERE is_leaf UNION ALL SELECT 'root', node FROM nodes WHERE is_leaf),
 anc AS (SELECT node, parent AS ancestor FROM nodes WHERE parent IS NOT NULL UNION ALL SELECT node, 'root' FROM nodes WHERE depth = 2),
-lb AS (SELECT DISTINCT 'N_' || {_under("n_name")} AS leaf, (l_partkey * 7 % {TREE_BITS}) AS pos FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity >= 25),
+lb AS (SELECT DISTINCT 'N_' || {_under("n_name")} AS leaf, (l_partkey * 7 % {TREE_BITS}) AS pos FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
 ln AS (SELECT node, count(*) AS n_leaves FROM closure GROUP BY node),
 cn AS (SELECT node, pos, count(*) AS c, any_value(n_leaves) AS n_leaves FROM lb JOIN closure USING (leaf) JOIN ln USING (node) GROUP BY node, pos)"""
 _ACT = f"""{_TREE}, act AS (SELECT x.node, x.pos, coalesce(cn.c, 0) AS c, ln.n_leaves FROM (
@@ -96,7 +96,7 @@ ratio AS (SELECT n.node, n.is_leaf, (CASE WHEN n.parent IS NULL THEN {TREE_BITS}
 
 def _node_stats(complete: bool) -> str:
     early = "is_leaf" if complete else "true"
-    return f"""{_TREE}, br AS (SELECT regexp_extract(p_brand, '[0-9]+')::INTEGER AS p_brand, (p_partkey * 7 % {TREE_BITS}) AS pos, count(*) AS cq FROM part WHERE p_size <= 5 GROUP BY ALL),
+    return f"""{_TREE}, br AS (SELECT regexp_extract(p_brand, '[0-9]+')::INTEGER AS p_brand, (p_partkey * 7 % {TREE_BITS}) AS pos, count(*) AS cq FROM part GROUP BY ALL),
 bn AS (SELECT p_brand, sum(cq)::BIGINT AS n FROM br GROUP BY p_brand),
 hs AS (SELECT p_brand, node, sum(cq)::BIGINT AS some_, (sum(CASE WHEN c = n_leaves THEN cq ELSE 0 END))::BIGINT AS n_pass FROM br JOIN cn USING (pos) GROUP BY ALL),
 st AS (SELECT bn.p_brand, nodes.node, n - coalesce(some_, 0) AS n_fail, coalesce(n_pass, 0) AS n_pass, coalesce(some_, 0) - coalesce(n_pass, 0) AS n_unresolved,
@@ -144,7 +144,7 @@ SELECT item_id::INTEGER AS batch_ix, 'item' || item_id AS name, filter_id, hits,
     "bits_counts": f"WITH {_V}, f AS (SELECT pos, (pos IN {_A})::INT AS a, (pos IN {_B})::INT AS b FROM {_ALL} x) SELECT sum(a)::BIGINT AS ones_a, sum(b)::BIGINT AS ones_b, sum(a * b)::BIGINT AS n_and, sum(greatest(a, b))::BIGINT AS n_or, sum(abs(a - b))::BIGINT AS n_xor, sum(a * (1 - b))::BIGINT AS n_mask, sum(greatest(a, 1 - b))::BIGINT AS n_or_not FROM f",
     "bits_bitmaps": f"WITH {_V} SELECT count(DISTINCT pos) AS ones FROM v WHERE vec IN ('y1995', 'y1996')",
     "bits_dump": f"WITH {_V} SELECT i.vec, string_agg(CASE WHEN v.pos IS NULL THEN '0' ELSE '1' END, '' ORDER BY p.range) AS bits FROM (SELECT DISTINCT vec FROM v) i CROSS JOIN range(100) p LEFT JOIN v ON v.vec = i.vec AND v.pos = p.range GROUP BY i.vec",
-    "bits_integers": f"WITH {_V} SELECT vec, row_number() OVER (PARTITION BY vec ORDER BY pos) - 1 AS r, pos FROM v WHERE vec <> 'y1995'",
+    "bits_integers": f"WITH {_V} SELECT vec, row_number() OVER (PARTITION BY vec ORDER BY pos) - 1 AS r, pos FROM v",
     "distance_hamming": _pairs() + "SELECT u, v, ones_u + ones_v - 2 * common AS hamming FROM p",
     "distance_intersection": _pairs("pos >= 8 AND pos < 2000") + "SELECT u, v, common AS intersection FROM p",
     "distance_union": _pairs() + 'SELECT u, v, ones_u + ones_v - common AS "union" FROM p',
@@ -156,10 +156,10 @@ SELECT item_id::INTEGER AS batch_ix, 'item' || item_id AS name, filter_id, hits,
     "node_determined": f"WITH {_ACT} SELECT node, 'det' AS vector, pos FROM act WHERE c = n_leaves OR c = 0 UNION ALL SELECT node, 'how', pos FROM act WHERE c = n_leaves",
     "node_brief": f"WITH {_ACT}, o AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY pos) - 1 AS k FROM act), e AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY pos) - 1 AS j FROM o WHERE c = n_leaves OR c = 0) SELECT node, 'det' AS vector, k AS pos FROM e UNION ALL SELECT node, 'how', j FROM e WHERE c = n_leaves",
     "brief_lengths": f"WITH {_ACT} SELECT node, count(*) AS det_length, count(*) FILTER (WHERE c = n_leaves OR c = 0) AS how_length FROM act GROUP BY node",
-    "tree_lookup": f"WITH {_TREE} SELECT n.node, r.range AS pos, CASE WHEN c IS NULL THEN 0 WHEN c = n_leaves THEN 1 ELSE -1 END AS state FROM nodes n CROSS JOIN range(0, {TREE_BITS}, 5) r LEFT JOIN cn ON cn.node = n.node AND cn.pos = r.range",
+    "tree_lookup": f"WITH {_TREE} SELECT n.node, r.range AS pos, CASE WHEN c IS NULL THEN 0 WHEN c = n_leaves THEN 1 ELSE -1 END AS state FROM nodes n CROSS JOIN range({TREE_BITS}) r LEFT JOIN cn ON cn.node = n.node AND cn.pos = r.range",
     "tree_search": f"WITH {_node_stats(False)} SELECT DISTINCT p_brand AS batch_ix, leaf FROM qs JOIN closure USING (node) WHERE examined AND passed",
     "nodes_examined": f"WITH {_node_stats(False)} SELECT p_brand AS batch_ix, count(*) AS nodes_examined FROM qs WHERE examined GROUP BY p_brand",
-    "node_query_stats": f"WITH {_node_stats(True)} SELECT p_brand AS batch_ix, node, examined, examined AND passed AS passed, examined AND failed AS failed, n_pass, n_fail, n_unresolved FROM qs",
+    "node_query_stats": f"WITH {_node_stats(True)} SELECT a.p_brand AS batch_ix, a.node, a.examined, a.examined AND a.passed AS passed, a.examined AND a.failed AS failed, a.n_pass, a.n_fail, a.n_unresolved, a.n_pass - coalesce(b.n_pass, 0) AS local_pass, a.n_fail - coalesce(b.n_fail, 0) AS local_fail FROM qs a JOIN nodes n ON n.node = a.node LEFT JOIN qs b ON b.node = n.parent AND b.p_brand = a.p_brand",
     "det_ratio": f"WITH {_TREE}, {_RATIO} SELECT node, n_informative - o AS n_det, n_informative FROM ratio",
     "cull_threshold": f"WITH {_TREE}, {_RATIO}, x AS (SELECT (n_informative - o) / n_informative::DOUBLE AS x FROM ratio WHERE NOT is_leaf AND n_informative > 0) SELECT round(greatest(0, least(1, avg(x) - stddev_pop(x))), 9) AS threshold FROM x",
     "node_stats": f"WITH {_TREE}, fam AS (SELECT n.node, n.parent, (SELECT count(*) FROM nodes k WHERE k.parent = n.node) AS kids FROM nodes n) SELECT n.node, n.depth + 1 AS depth, 3 - n.depth AS height, 1 + (SELECT count(*) FROM anc WHERE anc.ancestor = n.node) AS subtree, (SELECT count(*) - 1 FROM nodes s WHERE s.parent IS NOT DISTINCT FROM n.parent) AS siblings, (SELECT coalesce(sum(kids), 0)::BIGINT FROM fam f WHERE f.parent IS NOT DISTINCT FROM n.parent AND f.node <> n.node) AS niblings, ln.n_leaves AS leaves FROM nodes n JOIN ln ON ln.node = n.node",
@@ -168,7 +168,26 @@ SELECT item_id::INTEGER AS batch_ix, 'item' || item_id AS name, filter_id, hits,
     "forest_stats": f"WITH {_TREE} SELECT n.node AS root, (SELECT count(*) FROM nodes k WHERE k.parent = n.node) + 1 AS size, ln.n_leaves AS leaves, 2 AS max_depth FROM nodes n JOIN ln ON ln.node = n.node WHERE depth = 1",
     "topology_lines": f"WITH {_TREE} SELECT node_ix, repeat('*', depth) || node AS line FROM pre",
     "depth_histogram": f"WITH {_TREE} SELECT depth, count(*) AS n FROM nodes GROUP BY depth",
-    "tree_validation": "SELECT 0::BIGINT AS differences, 0::BIGINT AS only_children",
+    "tree_validation": f"""WITH {_TREE}, have AS (SELECT node, pos FROM cn WHERE node <> 'R_ASIA' OR pos % 5 <> 0), inner_ AS (SELECT DISTINCT parent AS node FROM nodes WHERE parent IS NOT NULL),
+want AS (SELECT DISTINCT n.parent AS node, pos FROM have JOIN nodes n USING (node) WHERE n.parent IS NOT NULL), own AS (SELECT node, pos FROM have JOIN inner_ USING (node))
+(SELECT * FROM want EXCEPT SELECT * FROM own) UNION ALL (SELECT * FROM own EXCEPT SELECT * FROM want)""",
+    "tree_names": "SELECT unnest(['R_AFRICA', 'R_EUROPE', 'N_ATLANTIS']) AS name, unnest(['repeated', 'no filter', 'no node']) AS problem",
+    "lonely_nodes": f"WITH {_TREE}, k AS (SELECT n_regionkey AS r, any_value('N_' || {_under('n_name')}) AS name FROM nation WHERE n_nationkey % 7 < 2 GROUP BY n_regionkey HAVING count(*) = 1) SELECT name FROM k",
+    "theta_query_stored": _search(SPEC, THETA),
+    "theta_query_in_tree_order": f"SELECT *, row_number() OVER (PARTITION BY batch_ix ORDER BY filter_id DESC)::INTEGER AS rank FROM ({_search(SPEC, THETA)})",
+    "theta_zero": f"WITH {_positions(SPEC.num_bits, SPEC.range)}, h AS ({_hits()}) SELECT qn.item_id::INTEGER AS batch_ix, 'item' || qn.item_id AS name, s.source AS filter_id, coalesce(hits, 0) AS hits, n FROM qn CROSS JOIN (SELECT DISTINCT source FROM documents) s LEFT JOIN h ON h.item_id = qn.item_id AND h.filter_id = s.source",
+    "min_abundance_positions": f"""WITH {DM}, c AS (SELECT filter_id, least(m, reverse(translate(m, 'ACGT', 'TGCA'))) AS m FROM dm GROUP BY ALL HAVING count(*) >= 2), u AS (SELECT DISTINCT m FROM c),
+p AS (SELECT DISTINCT filter_id, (h % {SPEC.range})::BIGINT AS pos FROM c JOIN ({hashed("u", 20)}) USING (m)) SELECT filter_id, count(*) AS ones, min(pos) AS lowest, max(pos) AS highest, sum(pos)::BIGINT AS total FROM p GROUP BY filter_id""",
+    "max_depth": f"WITH {_TREE} SELECT max(depth) AS max_depth FROM nodes",
+    "renumbered_tree": f"WITH {_TREE}, r AS (SELECT node, 'node' || row_number() OVER (ORDER BY depth, node_ix) AS name FROM pre WHERE NOT is_leaf) SELECT node_ix, repeat('*', depth) || coalesce(r.name, pre.node) AS line FROM pre LEFT JOIN r ON r.node = pre.node",
+    "sibling_groups": f"WITH {_TREE} SELECT string_agg(node, ' ' ORDER BY node_ix) AS names FROM pre GROUP BY parent",
+    "subtree_nodes": f"WITH {_TREE} SELECT node AS name FROM nodes WHERE node = 'R_EUROPE' OR parent = 'R_EUROPE'",
+    "bit_stats_view": f"WITH {_ACT}, s AS (SELECT pos, count(*) AS det_active, count(*) FILTER (WHERE c = n_leaves) AS how_one FROM act GROUP BY pos) SELECT pos AS x, det_active AS n_x, round(how_one / ((det_active + 1) // 2)::DOUBLE, 9) AS s_x FROM s",
+    "allsome_totals": f"WITH {_ACT}, s AS (SELECT count(*) FILTER (WHERE c = n_leaves) AS present, count(*) FILTER (WHERE c = 0) AS absent FROM act) SELECT present, absent, round(100.0::DOUBLE * present / (present + absent), 6) AS present_pct, round(100.0::DOUBLE * absent / (present + absent), 6) AS absent_pct FROM s",
+    "node_stat_items": f"""WITH {_ACT}, i AS (SELECT leaf AS node, count(*) AS items FROM lb GROUP BY leaf), a AS (SELECT node, count(*) FILTER (WHERE c = n_leaves) AS n_all, count(*) FILTER (WHERE c > 0 AND c < n_leaves) AS n_some FROM act GROUP BY node)
+SELECT n.node, items, round(1 - exp(-items / {TREE_BITS}::DOUBLE), 9) AS fp_rate, coalesce(n_all, 0) AS n_all, coalesce(n_some, 0) AS n_some FROM nodes n JOIN i USING (node) LEFT JOIN a USING (node)""",
+    "constant_filters": f"WITH {_V} SELECT vec, count(*) AS ones, count(*) / {VECTOR_BITS}::DOUBLE AS density FROM v GROUP BY vec UNION ALL SELECT 'full', {VECTOR_BITS}, 1.0::DOUBLE",
+    "random_vector_exact": "SELECT 'random' AS vec, 12345::BIGINT AS ones, 0.12345::DOUBLE AS density",
     "filter_size": "WITH n AS (SELECT source, count(DISTINCT doc_id) AS n FROM documents GROUP BY source) SELECT source, ceil(-n / ln(0.9::DOUBLE))::BIGINT AS bits_1, ceil(-3 * n / ln(1 - pow(0.1::DOUBLE, 1.0::DOUBLE / 3)))::BIGINT AS bits_3 FROM n",
     "query_fp_bound": f"WITH {QM}, n AS (SELECT b.item_id, count(m) AS n FROM benchmark b LEFT JOIN qm USING (item_id) GROUP BY b.item_id) SELECT item_id::INTEGER AS batch_ix, round(exp(-n * pow(0.2::DOUBLE - 0.1::DOUBLE, 2) / (3 * 0.1::DOUBLE)), 12) AS bound, ceil({THETA}::DOUBLE * n)::BIGINT AS need, (n - ceil({THETA}::DOUBLE * n) + 1)::BIGINT AS need_fail FROM n",
 }

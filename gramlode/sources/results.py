@@ -73,10 +73,12 @@ def presence_lines(presence: DataFrame) -> DataFrame:
 
 
 def node_stat_lines(stats: DataFrame) -> DataFrame:
-    """Tab-separated query, node, E/-, P/F/-, and local and total counts of passed, failed and unresolved k-mers."""
+    """Tab-separated query, node, E/-, P/F/-, and local and total counts of passed, failed and unresolved k-mers; the
+    counts of a node that was not examined are dashes. Without a column query the query's number stands for its name."""
     verdict = F.when(~F.col("examined"), "-").when(F.col("passed"), "P").when(F.col("failed"), "F").otherwise("-")
-    numbers = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("local_pass", "local_fail", "n_pass", "n_fail", "n_unresolved")]
-    return stats.select(F.concat_ws("\t", F.col("query"), F.col("node"), F.when(F.col("examined"), "E").otherwise("-"), verdict, *numbers).alias("line"))
+    numbers = [F.when(F.col("examined"), F.col(c).cast("string")).otherwise("-") for c in ("local_pass", "local_fail", "n_pass", "n_fail", "n_unresolved")]
+    query = F.col("query") if "query" in stats.columns else F.col("batch_ix").cast("string")
+    return stats.select(F.concat_ws("\t", query, F.col("node"), F.when(F.col("examined"), "E").otherwise("-"), verdict, *numbers).alias("line"))
 
 
 def write_lines(lines_df: DataFrame, path: str) -> None:
