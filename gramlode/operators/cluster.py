@@ -13,8 +13,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bits import to_buckets
 from .tree import parents
 
+#: Bits of a packed bitmap.
+BUCKET = 32_768
+
 #: Positions that are compared, and standard deviations below the mean at which a node is culled.
 BITS, CULL_SD = 100_000, 2.0
 
@@ -23,12 +27,14 @@ def leaf_vectors(bits: DataFrame, start: int = 0, end: int = BITS) -> tuple[list
     """Names in order and packed bits of all leaves within the interval, which starts at a multiple of 8."""
     if start % 8:
         raise ValueError("the interval starts at a multiple of 8")
-    rows = bits.groupBy("filter_id").agg(F.collect_set(F.when((F.col("pos") >= start) & (F.col("pos") < end), F.col("pos") - start)).alias("p")).collect()
-    rows.sort(key=lambda r: r.filter_id)
-    out = np.zeros((len(rows), end - start), np.uint8)
-    for i, r in enumerate(rows):
-        out[i, r.p] = 1
-    return [r.filter_id for r in rows], np.packbits(out, axis=1)
+    inside = bits.where((F.col("pos") >= start) & (F.col("pos") < end)).select(F.col("filter_id").alias("vec"), (F.col("pos") - start).alias("pos"))
+    names = sorted(r.filter_id for r in bits.select("filter_id").distinct().collect())  # one row a filter
+    place = {n: i for i, n in enumerate(names)}
+    flat = np.zeros((len(names), -(-(end - start) // BUCKET) * BUCKET // 8), np.uint8)
+    for r in to_buckets(inside).collect():  # packed by Spark: one bit a position
+        at = (r.bucket - 1) * BUCKET // 8
+        flat[place[r.vec], at : at + BUCKET // 8] = np.frombuffer(r.bitmap, np.uint8)
+    return names, flat  # the order of bits within a byte does not matter to distances and unions
 
 
 def agglomerate(packed: np.ndarray) -> list[tuple[int, int]]:

@@ -1,4 +1,4 @@
-"""Distances between bit vectors: one join on position counts common bits, totals give the rest."""
+"""Distances between bit vectors: one join on words of 64 positions counts common bits, totals give the rest."""
 
 from __future__ import annotations
 
@@ -18,7 +18,8 @@ def common_bits(vectors: DataFrame, focus: DataFrame | None = None, start: int =
     v = v.select("vec", "pos")
     ids = vectors.select("vec").distinct()
     ones = ids.join(v.groupBy("vec").agg(F.count("*").alias("ones")), "vec", "left").fillna(0, ["ones"])
-    a, b = v.select(F.col("vec").alias("u"), "pos"), v.select(F.col("vec").alias("v"), "pos")
+    words = v.groupBy("vec", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos").bitwiseAND(F.lit(63)).cast("int"))).alias("x"))
+    a, b = words.select(F.col("vec").alias("u"), "word", F.col("x").alias("x")), words.select(F.col("vec").alias("v"), "word", F.col("x").alias("y"))
     left, right = ones.select(F.col("vec").alias("u"), F.col("ones").alias("ones_u")), ones.select(F.col("vec").alias("v"), F.col("ones").alias("ones_v"))
     if focus is not None:
         f = focus.select(F.col("vec").alias("u")).distinct()
@@ -26,7 +27,7 @@ def common_bits(vectors: DataFrame, focus: DataFrame | None = None, start: int =
         on = F.lit(True)
     else:
         on = F.col("u") < F.col("v")
-    shared = a.join(b, "pos").where(on).groupBy("u", "v").agg(F.count("*").alias("common"))
+    shared = a.join(b, "word").where(on).groupBy("u", "v").agg(F.sum(F.bit_count(F.col("x").bitwiseAND(F.col("y")))).alias("common"))
     return left.join(right, on).join(shared, ["u", "v"], "left").select("u", "v", "ones_u", "ones_v", F.coalesce("common", F.lit(0)).alias("common"))
 
 

@@ -115,6 +115,13 @@ def dump(ones: DataFrame, keys: list[str], num_bits: int, start: int = 0, end: i
     return g.select(*keys, bits.alias("bits"))
 
 
+def wrapped(dumped: DataFrame, width: int = 50, chunk: int = 10, column: str = "bits") -> DataFrame:
+    """dumped with its bits as lines of so many bits, parted by blanks into chunks."""
+    lines = F.regexp_extract_all(F.col(column), F.lit(f".{{1,{width}}}"), F.lit(0))
+    parted = F.transform(lines, lambda x: F.array_join(F.regexp_extract_all(x, F.lit(f".{{1,{chunk}}}"), F.lit(0)), " "))
+    return dumped.withColumn(column, F.array_join(parted, "\n"))
+
+
 def integers(ones: DataFrame, keys: list[str]) -> DataFrame:
     """keys, r, pos: set positions with their rank."""
     return ordinals(ones, keys).select(*keys, F.col("ord").alias("r"), "pos")

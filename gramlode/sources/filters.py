@@ -22,6 +22,8 @@ MAGIC, VERSION = 0xD532006662544253, 2
 KIND_NAMES = {1: "simple", 2: "allsome", 3: "determined", 4: "determined,brief", 0xFFFFFF00: "intersection"}
 COMPRESSORS = {1: "uncompressed", 2: "zeros", 3: "ones", 4: "rrr", 5: "roar", 6: "unc_rrr", 7: "unc_roar"}
 HEADER = "<QIIIIIIQQQQIIQ"
+#: Bits of an imported vector that leave a task in one batch.
+CHUNK = 1 << 18
 VECTOR = "<IIQQQ"
 
 
@@ -69,6 +71,12 @@ def parse_header(data: bytes) -> tuple[dict, list[tuple[str, int, int]]]:
     return props, infos
 
 
+def header_lines(data: bytes) -> list[str]:
+    """The properties and vectors of a binary file's header as text, one a line."""
+    props, infos = parse_header(data)
+    return [f"{k}: {'unknown' if x is None else x}" for k, x in props.items()] + [f"vector {i}: {c}, offset {o}, bytes {n}" for i, (c, o, n) in enumerate(infos)]
+
+
 def build_file(props: dict, vectors: list[np.ndarray]) -> bytes:
     """A binary file of uncompressed vectors, given as arrays of set positions."""
     head = struct.calcsize(HEADER) + len(vectors) * struct.calcsize(VECTOR)
@@ -119,6 +127,9 @@ def import_binary(spark: SparkSession, paths: str | list[str]) -> tuple[DataFram
                 p, infos = parse_header(r["content"])
                 for v, (c, offset, nbytes) in enumerate(infos):
                     pos = set_positions(r["content"], p["num_bits"], c, offset, nbytes)
-                    yield pa.RecordBatch.from_arrays([pa.array([r["filter_id"]] * len(pos), pa.string()), pa.array([v] * len(pos), pa.int32()), pa.array(pos, pa.int64())], names=["filter_id", "vector_ix", "pos"])
+                    for k in range(0, len(pos), CHUNK):
+                        part = pos[k : k + CHUNK]
+                        name = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(part), np.int8)), pa.array([r["filter_id"]])).cast(pa.string())
+                        yield pa.RecordBatch.from_arrays([name, pa.array(np.full(len(part), v, np.int32)), pa.array(part, pa.int64())], names=["filter_id", "vector_ix", "pos"])
 
     return files.mapInArrow(heads, FILTER_SCHEMA), files.mapInArrow(ones, BIT_SCHEMA)

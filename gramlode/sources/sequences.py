@@ -86,11 +86,19 @@ def read_queries(spark: SparkSession, specs: Iterable[str], threshold: float = 0
 
 
 def queries_from(df: DataFrame, name: str, seq: str, threshold: float = 0.7) -> DataFrame:
-    """Queries of any DataFrame; batch_ix follows the order of names."""
-    from pyspark.sql import Window as W
+    """Queries of any DataFrame; batch_ix follows the order of names.
 
-    ix = F.row_number().over(W.orderBy(name)) - 1
-    return df.select(ix.cast("int").alias("batch_ix"), F.col(name).cast("string").alias("name"), F.col(seq).alias("seq"), F.lit(threshold).alias("threshold"))
+    Rows are ranged and numbered by part; the driver adds up one count for each part.
+    """
+    dealt = df.repartitionByRange(F.col(name)).sortWithinPartitions(name).withColumn("_at", F.monotonically_increasing_id()).persist()  # fixes the parts
+    part, own = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r.p: r.n for r in dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    starts, total = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        starts.append(total)
+        total += sizes.get(p, 0)
+    ix = own + F.get(F.lit(starts or [0]).cast("array<long>"), part)
+    return dealt.select(ix.cast("int").alias("batch_ix"), F.col(name).cast("string").alias("name"), F.col(seq).alias("seq"), F.lit(threshold).alias("threshold"))
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -66,6 +66,27 @@ def closure(nodes: DataFrame) -> DataFrame:
     return nodes.sparkSession.createDataFrame(rows, "node string, leaf string")
 
 
+def post_order(nodes: DataFrame) -> DataFrame:
+    """nodes with post_ix: their places where children come before their parents, from 0."""
+    from pyspark.sql import Window as W
+
+    # a node follows the nodes under it; those before it in pre-order that are no ancestors come first either way
+    size = closure(nodes.withColumn("is_leaf", F.lit(True))).groupBy("node").agg(F.count("*").alias("_under"))
+    sized = nodes.join(size, F.col("name") == F.col("node")).drop("node")
+    return sized.withColumn("post_ix", F.row_number().over(W.orderBy(F.col("node_ix") + F.col("_under"), F.col("depth").desc())) - 1).drop("_under")
+
+
+def children(nodes: DataFrame, name: str) -> DataFrame:
+    """The children of a node, in order."""
+    top = nodes.where(F.col("name") == name).select(F.col("node_ix").alias("_top"))
+    return nodes.join(F.broadcast(top), F.col("parent_ix") == F.col("_top"), "left_semi").orderBy("node_ix")  # one row
+
+
+def leaves(nodes: DataFrame) -> DataFrame:
+    """The leaves in order."""
+    return nodes.where("is_leaf").orderBy("node_ix")
+
+
 def lines(nodes: DataFrame, style: str = "file") -> DataFrame:
     """node_ix, line: the topology text in pre-order. style: name, file, or both as name[file]."""
     text = {"name": F.col("name"), "file": F.col("file"), "both": F.concat("name", F.lit("["), "file", F.lit("]"))}[style]

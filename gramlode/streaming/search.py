@@ -22,8 +22,12 @@ def query_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -
     return spark.readStream.schema(QUERY_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def search_stream(queries: DataFrame, filters: DataFrame, bits: DataFrame, spec: FilterSpec, sink: Callable[[DataFrame, int], None], checkpoint: str, distinct: bool = False, adjust: bool = False) -> StreamingQuery:
-    """Starts a stream whose sink gets the matches of each micro-batch and its number, again after a failure."""
+def search_stream(queries: DataFrame, filters: DataFrame, bits: DataFrame, spec: FilterSpec, sink: Callable[[DataFrame, int], None], checkpoint: str, distinct: bool = False, adjust: bool = False, interval: str | None = None) -> StreamingQuery:
+    """Starts a stream whose sink gets the matches of each micro-batch and its number, again after a failure.
+
+    interval, such as "10 seconds": the stream runs on and looks for new queries that often; without it, it ends when
+    all queries that are there have been answered.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
         held = batch.persist()
@@ -32,7 +36,7 @@ def search_stream(queries: DataFrame, filters: DataFrame, bits: DataFrame, spec:
         finally:
             held.unpersist()
 
-    return queries.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return queries.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**({"processingTime": interval} if interval else {"availableNow": True})).start()
 
 
 def to_parquet(folder: str) -> Callable[[DataFrame, int], None]:
