@@ -77,3 +77,21 @@ BROADCAST_ROWS = 20_000
 def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A narrow table that is cut already, marked for broadcast only if it is counted to be small."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Rows of one key from which on they are joined where they are instead of being sent to one task.
+HOT_ROWS = 200_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+    """left joined to right, which has one row for each key and in the column rows how many of left have it; without rows.
+
+    right is cut already. Keys with many rows are broadcast (at most one for each HOT_ROWS rows of left), so none of
+    their rows is shuffled; the others are joined by a shuffle.
+    """
+    hot = right.where(F.col(rows) > HOT_ROWS).drop(rows)
+    if hot.isEmpty():
+        return left.join(right.drop(rows), key)
+    few = checked(hot)
+    rest = left.join(checked(hot.select(key)), key, "left_anti").join(right.where(F.col(rows) <= HOT_ROWS).drop(rows), key)
+    return left.join(few, key).unionByName(rest)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked, cut, table, words
+from .common import checked, cut, join_hot, table, words
 from .components import components
 
 #: Most differing bits of a link, words of a shingle, fingerprints of a bucket that one task searches, children of a node.
@@ -208,33 +208,13 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, li
 
 def _named(spark: SparkSession, f: DataFrame) -> DataFrame:
     """f: doc_id, fp and further columns. f with root and component_id."""
-    distinct = cut(spark, f.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    distinct = cut(spark, f.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     roots = components(spark, links(spark, distinct.select("fp")))
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     named = cut(spark, named)
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return f.join(named.select("fp", "root").join(lows, "root"), "fp")
-
-
-def representatives(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text and others. One row of each component: the smallest doc_id (a null only among nulls).
-
-    Only ids and hashes of texts are grouped; texts move once, in the join that drops the other rows. Rows that share
-    id and text with a chosen row are told apart only where there are any.
-    """
-    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
-    f = cut(spark, fingerprints(keyed, ["doc_id", "_th"]))
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")
-    chosen = _named(spark, f).groupBy("root").agg(F.min(own).alias("k"))
-    chosen = cut(spark, chosen.select(F.col("k.doc_id").alias("_id"), F.col("k._th").alias("_h")))
-    same = lambda a, b: F.col("doc_id").eqNullSafe(F.col(a)) & (F.col("_th") == F.col(b))
-    kept = keyed.join(chosen, same("_id", "_h"), "left_semi")
-    again = cut(spark, f.groupBy("doc_id", "_th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id2"), F.col("_th").alias("_h2")))
-    if again.isEmpty():
-        return kept.drop("_th")
-    again = checked(again)
-    one = kept.join(again, same("_id2", "_h2"), "left_semi").dropDuplicates(["doc_id", "_th"])
-    return kept.join(again, same("_id2", "_h2"), "left_anti").unionByName(one).drop("_th")
+    lows = cut(spark, named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("k")))
+    whole = cut(spark, join_hot(named, lows, "root", "k").select("fp", "root", "component_id", "n"))
+    return join_hot(f, whole, "fp", "n")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
