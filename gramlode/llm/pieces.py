@@ -173,16 +173,16 @@ def word_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 def lattice(spark: SparkSession, words: DataFrame, model: str = MODEL) -> DataFrame:
     """words: w (distinct, with word signs, FOLD characters at most) and others. The same with edges: array<bigint>, for
-    each piece in the word its end (from bit 48 on), 63 less its length (40), id (20) and rank (0), so that they sort by
-    end, the longest first.
+    each piece in the word its end (from bit 48 on), 63 less its length (40), place in the table of limits (20) and rank
+    (0), so that they sort by end, the longest first.
 
     Dealt by word once, in parts of so many words that the edges of a part are grouped in memory: explode, broadcast
     join and grouping keep that dealing. Words without an edge are not returned.
     """
-    known = limits(model)
+    places, known = _limit_tables(model)[2], limits(model)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words.count() // PART)
     longest, own = max(map(len, known)), words.columns
-    p = F.broadcast(spark.createDataFrame([(k, (i << 20) + r) for k, (i, r, _, _) in known.items() if i >= 0], "_p string, _r long"))  # the fixed vocabulary
+    p = F.broadcast(spark.createDataFrame([(k, (i << 20) + known[k][1]) for k, i in places.items()], "_p string, _r long"))  # the fixed vocabulary
     e = words.repartition(parts, "w").select("*", F.explode(F.sequence(F.lit(0), F.length("w") - 1)).alias("_i"))
     e = e.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("w") - F.col("_i")))).alias("_k"))
     e = e.withColumn("_p", F.substr("w", F.col("_i") + 1, F.col("_k"))).join(p, "_p")
@@ -191,21 +191,19 @@ def lattice(spark: SparkSession, words: DataFrame, model: str = MODEL) -> DataFr
 
 
 @lru_cache(maxsize=2)
-def _limit_tables(model: str) -> tuple[str, str, int]:
-    """limits as two flat lists in text, by id and then length of the part; the width of an id. Behind the last id: a
-    character without a piece."""
-    known = limits(model)
-    width = max(map(len, known)) + 1
-    byte = processor(model).get_piece_size()
-    out = []
-    for k in (2, 3):
-        table = np.full((byte + 1, width), -1, np.int64)
-        table[byte, 1] = NEVER
-        for v in known.values():
-            if v[0] >= 0:
-                table[v[0], : len(v[k])] = v[k]
-        out.append(",".join(map(str, table.ravel().tolist())))
-    return out[0], out[1], width
+def _limit_tables(model: str) -> tuple[str, str, dict[str, int], int]:
+    """limits as two flat lists in text, the place in them of each piece, and of a character without a piece. At a place
+    stands the id (-1: none), then the limits by length of the part."""
+    last, first, places = [], [], {}
+    for p, (i, _, a, b) in limits(model).items():
+        if i >= 0:
+            places[p] = len(last)
+            last += [i, *a[1:]]
+            first += [i, *b[1:]]
+    if len(last) >= 1 << 20:
+        raise ValueError("the table of limits is too large for packed edges")
+    text = lambda x: ",".join(map(str, [*x, -1, NEVER]))
+    return text(last), text(first), places, len(last)
 
 
 def let(value: Column, body) -> Column:
@@ -216,14 +214,14 @@ def let(value: Column, body) -> Column:
 def fold(w: Column, edges: Column, model: str = MODEL) -> Column:
     """Ids of a word from its edges: one pass in the order of their ends.
 
-    The state holds, for each place reached, the start and the id of the last edge of its path. An edge to a place that
-    is reached already is passed over; else it is taken if the path to its start ends in a piece that the merges leave
-    apart from it, as is true for one edge of each place. A character that no piece equals is an edge of its own.
+    The state holds, for each place reached, the start of the last edge of its path and that edge's place in the limits.
+    An edge to a place that is reached already is passed over; else it is taken if the path to its start ends in a piece
+    that the merges leave apart from it, as is true for one edge of each place. A character that no piece equals is an
+    edge of its own.
     """
-    last, first, width = _limit_tables(model)
-    table = lambda t: F.split(F.lit(t), ",").cast("array<int>")  # folded to a constant
-    last, first = table(last), table(first)
-    byte, byte0, n = processor(model).get_piece_size(), byte_ids(model)[0], F.length(w)
+    lasts, firsts, _, byte = _limit_tables(model)
+    table = lambda t: F.split(F.lit(t), ",").cast("array<int>")  # folded to a constant, written once
+    byte0, n = byte_ids(model)[0], F.length(w)
     singles = "".join(p for p, v in limits(model).items() if len(p) == 1 and v[0] >= 0)
     bare = F.transform(F.sequence(F.lit(1), n), lambda j: F.shiftleft(j.cast("long"), 48) + F.lit((62 << 40) + (byte << 20) + (1 << 20) - 1))
 
@@ -234,11 +232,11 @@ def fold(w: Column, edges: Column, model: str = MODEL) -> Column:
 
     every = F.transform(F.sort_array(F.when(F.translate(w, singles, "") == "", edges).otherwise(F.concat(edges, bare))), unpacked)
 
-    def walk(every: Column, wide: Column) -> Column:
+    def walk(every: Column, wide: Column, last: Column, first: Column) -> Column:
         def step(s: Column, e: Column) -> Column:
             i = e["i"]
-            used = lambda c: F.get(last, F.get(s["id"], i) * width + (i - c["i"])) > c["rank"]
-            starts = lambda c: F.get(first, e["id"] * width + (c["j"] - i)) >= c["rank"]
+            used = lambda c: F.get(last, F.get(s["id"], i) + (i - c["i"])) > c["rank"]
+            starts = lambda c: F.get(first, e["id"] + (c["j"] - i)) >= c["rank"]
             over = lambda c: (c["i"] < i) & (c["j"] > i) & (c["j"] <= e["j"]) & (c["i"] >= F.get(s["at"], i)) & used(c) & starts(c)
             taken = F.struct(F.concat(s["at"], F.array(i)).alias("at"), F.concat(s["id"], F.array(e["id"])).alias("id"))
             return F.when((F.size(s["at"]) > e["j"]) | ((i > 0) & F.exists(wide, over)), s).otherwise(taken)
@@ -247,14 +245,15 @@ def fold(w: Column, edges: Column, model: str = MODEL) -> Column:
             def back(b: Column, k: Column) -> Column:
                 raw = F.hex(F.encode(F.substr(w, k, F.lit(1)), "utf-8"))
                 spelled = F.transform(F.sequence(F.lit(1), F.length(raw) - 1, F.lit(2)), lambda x: F.conv(F.substr(raw, x, F.lit(2)), 16, 10).cast("int") + byte0)
-                own = F.when(F.get(s["id"], k) == byte, spelled).otherwise(F.array(F.get(s["id"], k)))
+                own = F.when(F.get(s["id"], k) == byte, spelled).otherwise(F.array(F.get(last, F.get(s["id"], k))))
                 return F.when(b["k"] == k, F.struct(F.get(s["at"], k).alias("k"), F.concat(own, b["ids"]).alias("ids"))).otherwise(b)
 
             return F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), F.struct(n.alias("k"), F.array().cast("array<int>").alias("ids")), back, lambda b: b["ids"])
 
         return F.aggregate(every, F.struct(F.array(F.lit(0)).alias("at"), F.array(F.lit(-1)).alias("id")), step, path)
 
-    return let(every, lambda x: let(F.filter(x, lambda e: e["j"] - e["i"] > 1), lambda wide: walk(x, wide)))
+    ways = lambda last, first: let(every, lambda x: let(F.filter(x, lambda e: e["j"] - e["i"] > 1), lambda wide: walk(x, wide, last, first)))
+    return let(table(lasts), lambda last: let(table(firsts), lambda first: ways(last, first)))
 
 
 @lru_cache(maxsize=2)
@@ -404,13 +403,16 @@ def encode(spark: SparkSession, docs: DataFrame, keep: list[str], text_col: str
     row = F.struct(*[F.col(f"`{f.name}`") for f in kept]).alias("row")
     texts = F.col(f"`{text_col}`").alias("text")
     words = stored(spark, word_counts(docs.select(texts), model), "piece-counts")
-    grouping = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(grouping, None)
-    spark.conf.set(grouping, str(4 * PART))  # the edges of a part are grouped in memory, not sorted
+    # the edges of a part are grouped in memory, not sorted; the plan's text, with the limits in it, is cut short
+    own = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(4 * PART), "spark.sql.maxPlanStringLength": "10000"}
+    before = {c: spark.conf.get(c, None) for c in own}
     try:
+        for c, x in own.items():
+            spark.conf.set(c, x)
         known = stored(spark, dictionary(spark, words, model), "piece-words")
     finally:
-        spark.conf.set(grouping, before) if before is not None else spark.conf.unset(grouping)
+        for c, x in before.items():
+            spark.conf.set(c, x) if x is not None else spark.conf.unset(c)
     total = known.count()
     doubled = known.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     top = known if total <= frequent else known.orderBy(F.col("n").desc(), "w").limit(frequent)
