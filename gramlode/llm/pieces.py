@@ -191,8 +191,8 @@ def lattice(spark: SparkSession, words: DataFrame, model: str = MODEL) -> DataFr
 
 
 @lru_cache(maxsize=2)
-def _limit_tables(model: str) -> tuple[str, str, dict[str, int], int]:
-    """limits as two flat lists in text, the place in them of each piece, and of a character without a piece. At a place
+def _limit_tables(model: str) -> tuple[list[int], list[int], dict[str, int], int]:
+    """limits as two flat lists, the place in them of each piece, and of a character without a piece. At a place
     stands the id (-1: none), then the limits by length of the part."""
     last, first, places = [], [], {}
     for p, (i, _, a, b) in limits(model).items():
@@ -202,8 +202,18 @@ def _limit_tables(model: str) -> tuple[str, str, dict[str, int], int]:
             first += [i, *b[1:]]
     if len(last) >= 1 << 20:
         raise ValueError("the table of limits is too large for packed edges")
-    text = lambda x: ",".join(map(str, [*x, -1, NEVER]))
-    return text(last), text(first), places, len(last)
+    return [*last, -1, NEVER], [*first, -1, NEVER], places, len(last)
+
+
+def constant(values: list[int]) -> Column:
+    """A constant array of ints, handed to the JVM as bytes, so that the driver neither parses nor copies long text."""
+    from pyspark import SparkContext
+    from pyspark.sql.classic.column import Column as Classic
+
+    jvm = SparkContext._jvm
+    array = SparkContext._gateway.new_array(jvm.int, len(values))
+    jvm.java.nio.ByteBuffer.wrap(bytearray(np.array(values, ">i4").tobytes())).asIntBuffer().get(array)
+    return Classic(jvm.org.apache.spark.sql.functions.lit(array))
 
 
 def let(value: Column, body) -> Column:
@@ -220,7 +230,6 @@ def fold(w: Column, edges: Column, model: str = MODEL) -> Column:
     edge of its own.
     """
     lasts, firsts, _, byte = _limit_tables(model)
-    table = lambda t: F.split(F.lit(t), ",").cast("array<int>")  # folded to a constant, written once
     byte0, n = byte_ids(model)[0], F.length(w)
     singles = "".join(p for p, v in limits(model).items() if len(p) == 1 and v[0] >= 0)
     bare = F.transform(F.sequence(F.lit(1), n), lambda j: F.shiftleft(j.cast("long"), 48) + F.lit((62 << 40) + (byte << 20) + (1 << 20) - 1))
@@ -253,7 +262,7 @@ def fold(w: Column, edges: Column, model: str = MODEL) -> Column:
         return F.aggregate(every, F.struct(F.array(F.lit(0)).alias("at"), F.array(F.lit(-1)).alias("id")), step, path)
 
     ways = lambda last, first: let(every, lambda x: let(F.filter(x, lambda e: e["j"] - e["i"] > 1), lambda wide: walk(x, wide, last, first)))
-    return let(table(lasts), lambda last: let(table(firsts), lambda first: ways(last, first)))
+    return let(constant(lasts), lambda last: let(constant(firsts), lambda first: ways(last, first)))
 
 
 @lru_cache(maxsize=2)
