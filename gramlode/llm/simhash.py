@@ -52,7 +52,7 @@ def majority(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         lo, hi = int(offsets[at]), int(offsets[to])
         if to == at + 1 and len(full):  # one list, perhaps a very long one
             for k in range(lo, hi, step):
-                counts[0] += np.unpackbits(values[k : min(k + step, hi)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0)
+                counts[0] += np.unpackbits(values[k : min(k + step, hi)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
         elif len(full):
             bits = np.unpackbits(values[lo:hi].view(np.uint8), bitorder="little").reshape(-1, 64)
             counts[:] = np.add.reduceat(bits, offsets[full] - lo, axis=0, dtype=np.int32)
@@ -107,7 +107,7 @@ def buckets(spark: SparkSession, rows: DataFrame, limit: int = LIMIT, distance:
         if 64 - min(m.bit_count() for m in masks) <= limit.bit_length() - 1:
             done.append(rows)
             break
-        hot = cut(spark, rows.groupBy("mask", "pat").agg(F.count("*").alias("n"), F.approx_count_distinct("fp").alias("d")).where((F.col("n") > limit) & (F.col("d") > 1)).select("mask", "pat"))
+        hot = cut(spark, rows.groupBy("mask", "pat").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where((F.col("n") > limit) & (F.col("lo") != F.col("hi"))).select("mask", "pat"))
         if hot.isEmpty():
             done.append(rows)
             break

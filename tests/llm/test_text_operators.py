@@ -260,6 +260,16 @@ def test_simhash_components(spark, odd, empty, monkeypatch):
     assert rows_of(simhash.near_copies(spark, odd).select("doc_id", "fp", "component_id")) == got
 
 
+def test_majority_of_a_list_that_stands_alone():
+    """A list that is worked on by itself: one that is longer than a step, and the last of a batch after a full step."""
+    rng = np.random.default_rng(3)
+    for sizes in ([1], [7, 300_000, 0, 5], [1 << 17, 1 << 17, 3], [0, 0], [(1 << 18) + 1]):
+        offsets = np.append(0, np.cumsum(sizes))
+        values = rng.integers(0, 1 << 63, int(offsets[-1]), dtype=np.uint64)
+        want = [sum(1 << k for k in range(64) if 2 * int((v >> np.uint64(k) & np.uint64(1)).sum()) > len(v)) for v in np.split(values, offsets[1:-1])]
+        assert simhash.majority(values, offsets).tolist() == want, sizes
+
+
 def jaccard_rows(texts):
     sets = []
     for t in texts:
