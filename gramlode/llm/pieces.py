@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, stored, table
+from .common import fresh_path, release, stored, table
 from .files import opened
 from .tokenfile import groups
 
@@ -167,6 +167,7 @@ def word_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 if len(coded.dictionary):
                     n = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary))
                     yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(hashes(coded.dictionary)), pa.array(n)], names=["w", "h", "n"])
+        release()
 
     return docs.mapInArrow(run, "w string, h long, n long").groupBy("w").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, release, table
 
 #: Letters that a sign may stand for.
 LOOKS = {
@@ -348,17 +348,16 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: list[s
     but _text, _score and _toxic.
     """
     model = spark.sparkContext.broadcast(train(spark, docs, labels))
-    rows = docs.select(*keep, F.col("text").alias("_text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = model.value.scorer()
         for b in batches:
-            s = [score(t) for t in _texts(b.column(b.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=[*b.schema.names[:-1], "_score", "_toxic"])
+            yield pa.array([score(t) for t in _texts(b)], pa.float64())
+        release()
 
-    own = rows.select(*keep).schema
-    own = own.add("_score", "double").add("_toxic", "integer")
-    return rows.mapInArrow(run, own)
+    # only texts go to Python; the other columns wait beside them
+    score = F.arrow_udf(run, "double")(F.col("text"))
+    return docs.select(*keep, score.alias("_score")).withColumn("_toxic", (F.col("_score") >= threshold).cast("int"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -311,6 +311,38 @@ def test_near_copies_by_shingles(spark, odd, empty):
     assert {(r.doc_id, r.text) for r in out.collect()}.issubset({(r.doc_id, r.text) for r in odd.collect()}) and nearcopies.representatives(spark, empty).isEmpty()
 
 
+def test_no_near_copy_is_lost(spark, monkeypatch):
+    """Short texts, whose fingerprints stray far, edited in families with one common passage: the classes are exactly those
+    of all pairs at 0.8 or more, also where groups are wide and hardly any first link is found."""
+    from gramlode.llm import nearcopies
+
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(60))
+    passage, texts = [word() for _ in range(25)], []
+    for k in range(70):
+        own = [word() for _ in range(rng.randrange(4, 70))] + (passage if k % 3 == 0 else [])
+        for _ in range(rng.randrange(1, 8)):
+            w = list(own)
+            for _ in range(rng.randrange(0, 3)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randrange(0, 2)] = [word()]
+            texts.append(" ".join(w))
+    texts += [texts[0].upper(), texts[1], "x", "X", "", None, " "]
+    like, root = jaccard_rows(texts), list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if root[a] != root[b] and like(a, b) >= 0.8:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if x == old else x for x in root]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 80 < len(set(root)) < len(texts) - 50
+    assert sorted(r.doc_id for r in nearcopies.representatives(spark, d).collect()) == sorted(set(root))
+    monkeypatch.setattr(nearcopies, "WIDE", 3)
+    monkeypatch.setattr(nearcopies, "MANY", 4)
+    monkeypatch.setattr(nearcopies, "neighbours", lambda spark, nodes, similarity: nodes.selectExpr("node as u", "node as v").limit(0))
+    assert sorted(r.doc_id for r in nearcopies.representatives(spark, d).collect()) == sorted(set(root))
+
+
 def test_simhash_buckets_split_without_losing_links(spark):
     rng = np.random.default_rng(2)
     seeds = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
