@@ -200,11 +200,11 @@ def value(count: int, total: int) -> float:
     return 0.3 + min(1.0, 25.0 * count / max(total, 25))
 
 
-def fit(rows: list[tuple[list[int], list[float]]], labels: np.ndarray, width: int, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, width: int, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse rows by full-batch gradient steps with a rate for each weight."""
     at = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
-    ix = np.array([x for i, _ in rows for x in i], np.int64)
-    v = np.array([x for _, i in rows for x in i], float)
+    ix = np.concatenate([np.empty(0, np.int64), *(np.asarray(i, np.int64) for i, _ in rows)])
+    v = np.concatenate([np.empty(0), *(np.asarray(x, float) for _, x in rows)])
     w, b, n = np.zeros(width), float(np.log((labels.mean() + 1e-6) / (1 - labels.mean() + 1e-6))), len(rows)
     sum_w, sum_b = np.full(width, 1e-8), 1e-8
     for _ in range(steps):
@@ -331,12 +331,16 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
                     for f in features(w):
                         if f in at:
                             seen[at[f]] += n
-                ix.append(sorted(seen))
-                vs.append([value(seen[i], total) for i in ix[-1]])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ix, pa.list_(pa.int32())), pa.array(vs, pa.list_(pa.float64()))], names=["toxic", "i", "v"])
-
-    got = sorted((r.toxic, r.i, r.v) for r in rows.mapInArrow(vectors, "toxic int, i array<int>, v array<double>").collect())
-    w, c = fit([(i, v) for _, i, v in got], np.array([y for y, _, _ in got], float), len(names))
+                own = sorted(seen)
+                ix.append(np.array(own, ">i4").tobytes())
+                vs.append(np.array([value(seen[i], total) for i in own], ">f8").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ix, pa.binary()), pa.array(vs, pa.binary())], names=["toxic", "i", "v"])
+
+    # big-endian numbers, none negative: bytes sort as the lists of them do, and take less of the driver's memory
+    got = sorted((r.toxic, bytes(r.i), bytes(r.v)) for r in rows.mapInArrow(vectors, "toxic int, i binary, v binary").collect())
+    w, c = fit([(np.frombuffer(i, ">i4"), np.frombuffer(v, ">f8")) for _, i, v in got], np.array([y for y, _, _ in got], float), len(names))
+    del got
+    release()
     return Model(lm, {f: float(x) for f, x in zip(names, w, strict=True) if x}, c)
 
 

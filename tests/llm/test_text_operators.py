@@ -343,6 +343,52 @@ def test_no_near_copy_is_lost(spark, monkeypatch):
     assert sorted(r.doc_id for r in nearcopies.representatives(spark, d).collect()) == sorted(set(root))
 
 
+def test_pairs_that_cannot_hold_stay_in_their_task():
+    """Members of one token whose sets differ give no pair, however many there are; copies of each other do, once."""
+    import pyarrow as pa
+
+    from gramlode.llm import nearcopies
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 62, 100).astype(np.uint64)) for _ in range(90)]
+    sets += [np.append(sets[k][:-1], np.uint64(5)) for k in (0, 41)]
+    rows = [(t, k, len(x), 1 + (k == 0), k, nearcopies.parity(x).tobytes()) for t, many in ((1, 60), (2, 92)) for k, x in enumerate(sets) if k < many or k > 89]
+    rows += [(3, k, 100, 1, 7, nearcopies.parity(sets[k]).tobytes()) for k in (0, 90)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["token", "node", "n", "copies", "root", "bits"])
+    found = lambda last: [(u, v) for b in nearcopies._apart(0.8, last)(iter([batch.slice(0, 50), batch.slice(50)])) for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert found(False) == [(90, 0), (91, 41)] and found(True) == [(90, 0), (91, 41)]
+    opened = [x for b in nearcopies._open(iter([batch.select(["token", "node", "root"])])) for x in b.column(0).to_pylist()]
+    assert Counter(opened) == {1: 62, 2: 92} and not list(nearcopies._open(iter([]))) and not list(nearcopies._apart(0.8, False)(iter([])))
+
+
+def test_wide_maps_bound_the_difference_of_long_sets():
+    """Of long sets, for which a map of BITS bins tells nothing, half-similar ones are apart, and no similar one is."""
+    from gramlode.llm import nearcopies
+
+    rng = np.random.default_rng(4)
+    pool = np.unique(rng.integers(0, 1 << 62, 9000).astype(np.uint64))
+    apart, near, longer = pool[2500:7000], pool[450:4500], pool[:4950]
+    whole = pool[:4500]
+    assert nearcopies.wide_map(pool[:512]) is None and len(nearcopies.wide_map(pool[:513])) == 256
+    for other, holds in ((apart, False), (near, True), (longer, True), (whole, True)):
+        differ = nearcopies.differing(nearcopies.wide_map(whole), nearcopies.wide_map(other))
+        assert differ <= len(np.setxor1d(whole, other))
+        assert bool(nearcopies.possible(len(whole), len(other), differ, 0.8)) == holds
+        short = int(np.bitwise_count(nearcopies.parity(whole) ^ nearcopies.parity(other)).sum())
+        assert nearcopies.possible(len(whole), len(other), short, 0.8)
+
+
+def test_components_in_one_task_and_by_rounds(spark):
+    from gramlode.llm.components import components
+
+    rng = random.Random(2)
+    edges = [(a, a + rng.choice([1, 2, 700])) for a in rng.sample(range(-3000, 3000), 2500)] + [(k, k + 1) for k in range(9000, 9400)] + [(5, 5)]
+    d = spark.createDataFrame(edges, "u long, v long")
+    rounds, alone = rows_of(components(spark, d)), rows_of(components(spark, d, 10_000))
+    assert rounds == alone and len(alone) > 2500 and rounds == rows_of(components(spark, d, 100))
+    assert components(spark, d.limit(0), 10).isEmpty()
+
+
 def test_simhash_buckets_split_without_losing_links(spark):
     rng = np.random.default_rng(2)
     seeds = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
