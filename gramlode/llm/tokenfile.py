@@ -147,6 +147,12 @@ class Encoder:
         return [raw[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str) -> Encoder:
+    """The process's encoder: a Python worker takes many tasks, and the words of one are mostly those of the next."""
+    return Encoder(vocabulary)
+
+
 def groups(column: pa.Array, size: int = 8 << 20) -> Iterator[pa.Array]:
     """A text column in slices of about so many bytes."""
     import pyarrow.compute as pc
@@ -169,7 +175,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, sample: int
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(vocabulary)
+        enc = encoder(vocabulary)
         for b in batches:
             for g in groups(b.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array([x + end for x in enc.encode(g)], pa.binary())], names=["ids"])
@@ -206,7 +212,7 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str = V
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        enc, pack = Encoder(vocabulary), zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(words) if words else None, write_content_size=True)
+        enc, pack = encoder(vocabulary), zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(words) if words else None, write_content_size=True)
         name, index, at, total = own_name(folder, "shard"), [], HEAD, 0
         store, path = opened(name)
         with store.open_output_stream(path) as f:

@@ -444,6 +444,22 @@ def want_of(e, text):
     return np.array(e.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_tasks_of_a_worker_share_an_encoder(monkeypatch):
+    """Words that one task has encoded are known to the next, and ids stay the library's when old words are forgotten."""
+    import pyarrow as pa
+
+    enc = tokenfile.encoder(tokenfile.VOCABULARY)
+    texts = [" ".join(f"word{k}, İx{i} Ünder. a{k % 7}" for k in range(50 * i, 50 * i + 60)) for i in range(12)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in enc.library.encode_batch(texts, add_special_tokens=False)]
+    assert enc.encode(pa.array(texts[:6])) == want[:6]
+    learned, learn = [], enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda new: (learned.extend(new), learn(new))[1])
+    again = tokenfile.encoder(tokenfile.VOCABULARY)
+    assert again.encode(pa.array(texts[:6])) == want[:6] and not learned
+    monkeypatch.setattr(tokenfile, "MAX_CACHE", 20)
+    assert [again.encode(pa.array([t]))[0] for t in texts * 2] == want * 2 and len(learned) > 100
+
+
 def test_token_files_of_long_documents_share_a_dictionary(spark):
     d = spark.createDataFrame([(1, "some words again " * 3000), (1, "some words again " * 3000)], "doc_id long, text string")
     shards = tokenfile.write(spark, d, fresh_path(spark, "t"))
