@@ -40,8 +40,8 @@ SIGN = "▁"
 #: Most characters of a word whose edges are grouped into one row (the same fold runs over longer ones in Python, where
 #: edges need not be held); most words of the frequent table (about 20 bytes each).
 FOLD, FREQUENT = 255, 8_000_000
-#: Words of a part whose lattices are grouped at once.
-PART = 8_000
+#: Words of a part whose lattices are grouped at once; each part's task also reads the table of limits.
+PART = 16_000
 #: Bytes of text that a worker cuts at a time.
 GROUP = 4 << 20
 #: A limit that no rank reaches.
@@ -174,8 +174,8 @@ def word_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 def lattice(spark: SparkSession, words: DataFrame, model: str = MODEL) -> DataFrame:
     """words: w (distinct, with word signs, FOLD characters at most) and others. The same with edges: array<bigint>, for
-    each piece in the word its end (from bit 48 on), 63 less its length (40), place in the table of limits (20) and rank
-    (0), so that they sort by end, the longest first.
+    each piece in the word its end (from bit 48 on), start (40), place in the table of limits (20) and rank (0), so that
+    they sort by end, the longest first.
 
     Dealt by word once, in parts of so many words that the edges of a part are grouped in memory: explode, broadcast
     join and grouping keep that dealing. Words without an edge are not returned.
@@ -187,7 +187,7 @@ def lattice(spark: SparkSession, words: DataFrame, model: str = MODEL) -> DataFr
     e = words.repartition(parts, "w").select("*", F.explode(F.sequence(F.lit(0), F.length("w") - 1)).alias("_i"))
     e = e.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("w") - F.col("_i")))).alias("_k"))
     e = e.withColumn("_p", F.substr("w", F.col("_i") + 1, F.col("_k"))).join(p, "_p")
-    packed = F.shiftleft((F.col("_i") + F.col("_k")).cast("long"), 48) + F.shiftleft((63 - F.col("_k")).cast("long"), 40) + F.col("_r")
+    packed = F.shiftleft((F.col("_i") + F.col("_k")).cast("long"), 48) + F.shiftleft(F.col("_i").cast("long"), 40) + F.col("_r")
     return e.select(*own, packed.alias("_e")).groupBy(*own).agg(F.collect_list("_e").alias("edges"))
 
 
@@ -225,44 +225,43 @@ def let(value: Column, body) -> Column:
 def fold(w: Column, edges: Column, model: str = MODEL) -> Column:
     """Ids of a word from its edges: one pass in the order of their ends.
 
-    The state holds, for each place reached, the start of the last edge of its path and that edge's place in the limits.
-    An edge to a place that is reached already is passed over; else it is taken if the path to its start ends in a piece
-    that the merges leave apart from it, as is true for one edge of each place. A character that no piece equals is an
-    edge of its own.
+    The state holds, for each place reached, the start of the last edge of its path (from bit 20 on) and that edge's place
+    in the limits (0). An edge to a place that is reached already is passed over; else it is taken if the path to its start
+    ends in a piece that the merges leave apart from it, as is true for one edge of each place. An edge of one character
+    comes last to its place, so it is that one. A character that no piece equals is an edge of its own.
     """
     lasts, firsts, _, byte = _limit_tables(model)
-    byte0, n = byte_ids(model)[0], F.length(w)
+    byte0, n, mask = byte_ids(model)[0], F.length(w), F.lit((1 << 20) - 1)
     singles = "".join(p for p, v in limits(model).items() if len(p) == 1 and v[0] >= 0)
-    bare = F.transform(F.sequence(F.lit(1), n), lambda j: F.shiftleft(j.cast("long"), 48) + F.lit((62 << 40) + (byte << 20) + (1 << 20) - 1))
+    bare = F.transform(F.sequence(F.lit(1), n), lambda j: F.shiftleft(j.cast("long"), 48) + F.shiftleft((j - 1).cast("long"), 40) + F.lit((byte << 20) + (1 << 20) - 1))
+    start, place = lambda v: F.shiftright(v, 20), lambda v: v.bitwiseAND(mask)
 
     def unpacked(e: Column) -> Column:
-        j = F.shiftright(e, 48).cast("int")
-        i = j - 63 + F.shiftright(e, 40).bitwiseAND(F.lit(255)).cast("int")
-        return F.struct(i.alias("i"), j.alias("j"), F.shiftright(e, 20).bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("id"), e.bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("rank"))
+        own = F.shiftright(e, 20).bitwiseAND(F.lit((1 << 28) - 1)).cast("int")  # start and place, as the state holds them
+        return F.struct(F.shiftright(e, 48).cast("int").alias("j"), F.shiftright(e, 40).bitwiseAND(F.lit(255)).cast("int").alias("i"), own.alias("own"), e.bitwiseAND(mask).cast("int").alias("rank"))
 
     every = F.transform(F.sort_array(F.when(F.translate(w, singles, "") == "", edges).otherwise(F.concat(edges, bare))), unpacked)
 
     def walk(every: Column, wide: Column, last: Column, first: Column) -> Column:
         def step(s: Column, e: Column) -> Column:
             i = e["i"]
-            used = lambda c: F.get(last, F.get(s["id"], i) + (i - c["i"])) > c["rank"]
-            starts = lambda c: F.get(first, e["id"] + (c["j"] - i)) >= c["rank"]
-            over = lambda c: (c["i"] < i) & (c["j"] > i) & (c["j"] <= e["j"]) & (c["i"] >= F.get(s["at"], i)) & used(c) & starts(c)
-            taken = F.struct(F.concat(s["at"], F.array(i)).alias("at"), F.concat(s["id"], F.array(e["id"])).alias("id"))
-            return F.when((F.size(s["at"]) > e["j"]) | ((i > 0) & F.exists(wide, over)), s).otherwise(taken)
+            used = lambda c: F.get(last, place(F.get(s, i)) + (i - c["i"])) > c["rank"]
+            starts = lambda c: F.get(first, place(e["own"]) + (c["j"] - i)) >= c["rank"]
+            over = lambda c: (c["j"] > i) & (c["i"] < i) & (c["j"] <= e["j"]) & (c["i"] >= start(F.get(s, i))) & used(c) & starts(c)
+            return F.when((F.size(s) > e["j"]) | ((i > 0) & (e["j"] > i + 1) & F.exists(wide, over)), s).otherwise(F.array_append(s, e["own"]))
 
         def path(s: Column) -> Column:
             def back(b: Column, k: Column) -> Column:
-                raw = F.hex(F.encode(F.substr(w, k, F.lit(1)), "utf-8"))
+                raw, own = F.hex(F.encode(F.substr(w, k, F.lit(1)), "utf-8")), F.get(s, k)
                 spelled = F.transform(F.sequence(F.lit(1), F.length(raw) - 1, F.lit(2)), lambda x: F.conv(F.substr(raw, x, F.lit(2)), 16, 10).cast("int") + byte0)
-                own = F.when(F.get(s["id"], k) == byte, spelled).otherwise(F.array(F.get(last, F.get(s["id"], k))))
-                return F.when(b["k"] == k, F.struct(F.get(s["at"], k).alias("k"), F.concat(own, b["ids"]).alias("ids"))).otherwise(b)
+                ids = F.when(place(own) == byte, F.concat(spelled, b["ids"])).otherwise(F.array_prepend(b["ids"], F.get(last, place(own))))
+                return F.when(b["k"] == k, F.struct(start(own).alias("k"), ids.alias("ids"))).otherwise(b)
 
             return F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), F.struct(n.alias("k"), F.array().cast("array<int>").alias("ids")), back, lambda b: b["ids"])
 
-        return F.aggregate(every, F.struct(F.array(F.lit(0)).alias("at"), F.array(F.lit(-1)).alias("id")), step, path)
+        return F.aggregate(every, F.array(F.lit(-1)), step, path)
 
-    ways = lambda last, first: let(every, lambda x: let(F.filter(x, lambda e: e["j"] - e["i"] > 1), lambda wide: walk(x, wide, last, first)))
+    ways = lambda last, first: let(every, lambda x: let(F.filter(x, lambda e: e["j"] > e["i"] + 1), lambda wide: walk(x, wide, last, first)))
     return let(constant(lasts), lambda last: let(constant(firsts), lambda first: ways(last, first)))
 
 
@@ -382,15 +381,23 @@ def _encoded(texts: pa.Array, given: dict[str, list[int]], path: str, model: str
     return lists, lacks
 
 
-def _digest(model: str):
-    """n_pieces, ids_crc32 and round_trip for each text and its ids (uint32 of an Arrow list)."""
-    write = piece_bytes(model).__getitem__
+def _digest(texts: pa.Array, lists: pa.Array, model: str) -> list[tuple[int, int, bool]]:
+    """n_pieces, ids_crc32 and round_trip for each text and its ids. What all ids write is put together by Arrow; only
+    where that is not the text, byte for byte, is it decoded."""
+    table, blank = _written(model), b" "
+    at = np.asarray(lists.offsets, np.int64)
+    ids = np.asarray(lists.values)[at[0] : at[-1]]
+    rel, raw = at - at[0], memoryview(ids.astype("<u4").tobytes())
+    wrote = table.take(pa.array(ids))
+    ends = np.frombuffer(wrote.buffers()[1], np.int64, len(wrote) + 1, 8 * wrote.offset)[rel] if len(wrote) else rel
+    data = memoryview(wrote.buffers()[2] or b"")
 
-    def one(text: str | None, ids: np.ndarray) -> tuple[int, int, bool]:
-        back = b"".join(map(write, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
-        return len(ids), zlib.crc32(ids.astype("<u4").tobytes()), back == (text or "").replace(SIGN, " ")
+    def one(text: str | None, i: int, j: int, a: int, b: int) -> tuple[int, int, bool]:
+        want, back = (text or "").replace(SIGN, " "), bytes(data[a:b])
+        same = back == blank + want.encode("utf-8", "surrogatepass") or back.decode("utf-8", "replace").removeprefix(" ") == want
+        return j - i, zlib.crc32(raw[4 * i : 4 * j]), same
 
-    return one
+    return list(map(one, texts.to_pylist(), rel.tolist(), rel[1:].tolist(), ends.tolist(), ends[1:].tolist()))
 
 
 DIGEST = [T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())]
@@ -433,13 +440,12 @@ def encode(spark: SparkSession, docs: DataFrame, keep: list[str], text_col: str
     rows, schema = docs.select(row, texts), docs.select(row).schema
     ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
     out = T.StructType([*kept, *DIGEST] if digest else [*kept, ids])
-    one = _digest(model) if digest else None
 
     def finished(row: pa.Array, texts: pa.Array, lists: pa.Array) -> pa.RecordBatch:
         cols = row.flatten()
         if not digest:
             return pa.RecordBatch.from_arrays([*cols, lists], names=out.names)
-        got = [one(t.as_py(), np.asarray(x.values)) for t, x in zip(texts, lists, strict=True)]
+        got = _digest(texts, lists, model)
         return pa.RecordBatch.from_arrays([*cols, *(pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_())))], names=out.names)
 
     def encoded(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
@@ -480,6 +486,11 @@ def piece_bytes(model: str) -> list[bytes]:
     return out
 
 
+@lru_cache(maxsize=2)
+def _written(model: str) -> pa.Array:
+    return pa.array(piece_bytes(model), pa.large_binary())
+
+
 def decode_ids(ids: list[int], model: str = MODEL) -> str:
     """Text of ids: pieces by the piece table, runs of byte ids as UTF-8, without the blank that encoding puts first."""
     return b"".join(map(piece_bytes(model).__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")

@@ -495,6 +495,21 @@ def test_pieces_equal_the_library(spark, odd, empty, frequent):
         assert rows_of(back.select("doc_id", "text")) == Counter((r.doc_id, (r.text or "").replace(pieces.SIGN, " ")) for r in odd.collect())
 
 
+def test_digests_read_off_what_the_ids_write():
+    import pyarrow as pa
+
+    sp = pieces.processor(pieces.MODEL)
+    texts = pa.array(["", None, " two  blanks ", "a1-b2,c", "ünï😀漢字 x", "▁sign", "\ufffd", "e\u0301" * 40, "Größe 12a"])
+    ids = [sp.encode(t or "") for t in texts.to_pylist()]
+    want = [(len(x), zlib.crc32(np.array(x, "<u4").tobytes()), True) for x in ids]
+    lists = pa.array(ids, pa.list_(pa.int32()))
+    assert pieces._digest(texts, lists, pieces.MODEL) == want
+    assert pieces._digest(texts.slice(3, 4), lists.slice(3, 4), pieces.MODEL) == want[3:7]
+    assert pieces._digest(texts.slice(0, 2), lists.slice(0, 2), pieces.MODEL) == want[:2]
+    lone = pa.array([[pieces.byte_ids(pieces.MODEL)[0xFF]]], pa.list_(pa.int32()))  # bytes that are no UTF-8 write U+FFFD
+    assert [x[2] for t in ("\ufffd", "?") for x in pieces._digest(pa.array([t]), lone, pieces.MODEL)] == [True, False]
+
+
 def viterbi_by_merges(word):
     """Brute force: the merge order itself, a pair at a time over the whole word."""
     known, raw = pieces.pieces(pieces.MODEL), pieces.byte_ids(pieces.MODEL)
