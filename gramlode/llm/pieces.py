@@ -44,6 +44,8 @@ FOLD, FREQUENT = 255, 8_000_000
 PART = 16_000
 #: Bytes of text that a worker cuts at a time.
 GROUP = 4 << 20
+#: Bytes of them whose classes are held at a time.
+STEP = 256 << 10
 #: A limit that no rank reaches.
 NEVER = (1 << 31) - 1
 
@@ -137,12 +139,13 @@ def cut_words(texts: pa.Array, model: str) -> tuple[pa.Array, np.ndarray]:
     at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
     raw = texts.buffers()[2] or pa.py_buffer(b"")
     data = np.frombuffer(raw, np.uint8, int(at[-1] - at[0]), int(at[0]))
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
-    kind = lead_classes(model)[data[lead]]
-    before = np.append(np.uint8(0), kind[:-1])
-    edge = ((kind == 0) & (before != 0)) | (kind + before * 4 == 6) | (kind + before * 4 == 9)
-    cut = np.zeros(len(data), bool)
-    cut[lead[edge[: len(lead)]]] = True
+    cut, kinds, before = np.zeros(len(data), bool), lead_classes(model), np.zeros(1, np.uint8)
+    for a in range(0, len(data), STEP):  # what is held besides the words does not grow with the texts
+        part = data[a : a + STEP]
+        lead = np.flatnonzero((part & 0xC0) != 0x80)
+        kind = np.append(before, kinds[part[lead]])
+        pair, before = kind[1:] + kind[:-1] * 4, kind[-1:]
+        cut[lead[((kind[1:] == 0) & (kind[:-1] != 0)) | (pair == 6) | (pair == 9)] + a] = True
     rel = at - at[0]
     cut[rel[:-1][np.diff(rel) > 0]] = True
     starts = np.flatnonzero(cut)
@@ -183,7 +186,8 @@ def lattice(spark: SparkSession, words: DataFrame, model: str = MODEL) -> DataFr
     places, known = _limit_tables(model)[2], limits(model)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words.count() // PART)
     longest, own = max(map(len, known)), words.columns
-    p = F.broadcast(spark.createDataFrame([(k, (i << 20) + known[k][1]) for k, i in places.items()], "_p string, _r long"))  # the fixed vocabulary
+    # the fixed vocabulary; as an Arrow table it needs no Python workers, which a list would start beside those of the texts
+    p = F.broadcast(spark.createDataFrame(pa.table({"_p": [*places], "_r": [(i << 20) + known[k][1] for k, i in places.items()]})))
     e = words.repartition(parts, "w").select("*", F.explode(F.sequence(F.lit(0), F.length("w") - 1)).alias("_i"))
     e = e.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("w") - F.col("_i")))).alias("_k"))
     e = e.withColumn("_p", F.substr("w", F.col("_i") + 1, F.col("_k"))).join(p, "_p")

@@ -510,6 +510,31 @@ def test_digests_read_off_what_the_ids_write():
     assert [x[2] for t in ("\ufffd", "?") for x in pieces._digest(pa.array([t]), lone, pieces.MODEL)] == [True, False]
 
 
+def test_texts_are_cut_in_steps(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["", None, " two  blanks ", "a1-b2,c", "ünï😀漢字 x", "▁sign", "\ufffd", "e\u0301" * 40, "Größe 12a"])
+    words, ends = pieces.cut_words(pieces.signed(texts), pieces.MODEL)
+    many = pieces.signed(pa.array(["some words, 12 of them " * 40_000]))
+    tracemalloc.start()
+    pieces.cut_words(many, pieces.MODEL)
+    assert tracemalloc.get_traced_memory()[1] < 12 * len(many[0].as_py())  # was 18 bytes for each one of the text
+    tracemalloc.stop()
+    for step in (1, 2, 3, 7):
+        monkeypatch.setattr(pieces, "STEP", step)
+        got, to = pieces.cut_words(pieces.signed(texts), pieces.MODEL)
+        assert got.to_pylist() == words.to_pylist() and to.tolist() == ends.tolist()
+
+
+def test_the_vocabulary_needs_no_python_workers(spark):
+    words = spark.createDataFrame([("▁ab",)], "w string")
+    plan = pieces.lattice(spark, words)._jdf.queryExecution().optimizedPlan().toString()
+    table = [x for x in plan.splitlines() if "_p#" in x and ("LocalRelation" in x or "LogicalRDD" in x)]
+    assert table and all("LocalRelation" in x for x in table)
+
+
 def viterbi_by_merges(word):
     """Brute force: the merge order itself, a pair at a time over the whole word."""
     known, raw = pieces.pieces(pieces.MODEL), pieces.byte_ids(pieces.MODEL)
