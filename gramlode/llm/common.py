@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,6 +88,42 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A worker's function over batches, whose memory goes back to the system once its task has ended and holds nothing."""
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        release()
+
+    return whole
+
+
+#: Models that a worker loads once and keeps, by the module that loads them.
+_MODELS: dict[str, list] = {}
+
+
+def kept_model(maxsize: int) -> Callable:
+    """lru_cache for a model that tasks of other operators in the same worker may drop."""
+
+    def wrap(load: Callable) -> Callable:
+        _MODELS.setdefault(load.__module__, []).append(cached := lru_cache(maxsize=maxsize)(load))
+        return cached
+
+    return wrap
+
+
+def alone(module: str) -> None:
+    """Drops the models that other modules' tasks have left in this worker."""
+    for owner, caches in _MODELS.items():
+        if owner != module and any(c.cache_info().currsize for c in caches):
+            for c in caches:
+                c.cache_clear()
+            gc.collect()
+            release()
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text that is not null."""
     bare = F.regexp_replace(text, rf"^[{SPACE}]+", "")

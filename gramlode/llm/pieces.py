@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, release, stored, table
+from .common import alone, fresh_path, release, stored, table, tidy
 from .files import opened
 from .tokenfile import groups
 
@@ -44,6 +44,8 @@ FOLD, FREQUENT = 255, 8_000_000
 PART = 16_000
 #: Bytes of text that a worker cuts at a time.
 GROUP = 4 << 20
+#: Bytes of text that a worker encodes at a time, beside the frequent table.
+SLICE = 1 << 20
 #: Bytes of them whose classes are held at a time.
 STEP = 256 << 10
 #: A limit that no rank reaches.
@@ -134,12 +136,14 @@ def signed(texts: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(t, bare), t, pc.binary_join_element_wise(blank, t, bare))
 
 
-def cut_words(texts: pa.Array, model: str) -> tuple[pa.Array, np.ndarray]:
-    """All words of signed texts one after another, and the number of words before each text and in all."""
+def cut_words(texts: pa.Array, model: str, kinds: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
+    """All words of signed texts one after another, and the number of words before each text and in all. With kinds (the
+    model's lead_classes) the model is not loaded."""
+    kinds = lead_classes(model) if kinds is None else kinds
     at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
     raw = texts.buffers()[2] or pa.py_buffer(b"")
     data = np.frombuffer(raw, np.uint8, int(at[-1] - at[0]), int(at[0]))
-    cut, kinds, before = np.zeros(len(data), bool), lead_classes(model), np.zeros(1, np.uint8)
+    cut, before = np.zeros(len(data), bool), np.zeros(1, np.uint8)
     for a in range(0, len(data), STEP):  # what is held besides the words does not grow with the texts
         part = data[a : a + STEP]
         lead = np.flatnonzero((part & 0xC0) != 0x80)
@@ -163,14 +167,20 @@ def hashes(words: pa.Array) -> np.ndarray:
 def word_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """docs: one column, texts. w, h, n: distinct words (with blanks for word signs), their hash and how often."""
 
+    kinds = lead_classes(model)
+
+    def counted(texts: pa.Array) -> pa.RecordBatch:
+        coded = cut_words(signed(texts), model, kinds)[0].dictionary_encode()
+        n = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary))
+        return pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(hashes(coded.dictionary)), pa.array(n)], names=["w", "h", "n"])
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(__name__)
         for b in batches:
             for g in groups(b.column(0), GROUP):
-                coded = cut_words(signed(g), model)[0].dictionary_encode()
-                if len(coded.dictionary):
-                    n = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary))
-                    yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(hashes(coded.dictionary)), pa.array(n)], names=["w", "h", "n"])
-        release()
+                yield counted(g)
+                release()
 
     return docs.mapInArrow(run, "w string, h long, n long").groupBy("w").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
 
@@ -306,6 +316,7 @@ def fold_long(word: str, model: str = MODEL) -> list[int]:
 def dictionary(spark: SparkSession, words: DataFrame, model: str = MODEL) -> DataFrame:
     """words: w (distinct, with blanks for word signs), h, n. Adds ids."""
 
+    @tidy
     def python_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = [fold_long(x.replace(" ", SIGN), model) for x in b.column(0).to_pylist()]
@@ -333,18 +344,20 @@ def _frequent(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         store, local = opened(path)
         files = [pq.ParquetFile(store.open_input_file(f)) for f in sorted(x.path for x in store.get_file_info(fs.FileSelector(local)) if x.path.endswith(".parquet"))]
         rows = sum(f.metadata.num_rows for f in files)
-        h, offsets, flat, at = np.empty(rows, np.int64), np.zeros(rows + 1, np.uint32), [np.empty(0, np.uint16)], 0
+        most = sum(f.metadata.row_group(i).column(1).num_values for f in files for i in range(f.metadata.num_row_groups))  # an empty list is one
+        h, offsets, flat, at = np.empty(rows, np.int64), np.zeros(rows + 1, np.uint32), np.empty(most, np.uint16), 0
         for f in files:
             for b in f.iter_batches(50_000):
                 to = at + b.num_rows
                 h[at:to] = np.asarray(b.column(0))
                 offsets[at + 1 : to + 1] = int(offsets[at]) + np.cumsum(np.diff(np.asarray(b.column(1).offsets)))
-                flat.append(np.asarray(b.column(1).flatten()).astype("<u2"))
+                flat[offsets[at] : offsets[to]] = np.asarray(b.column(1).flatten())
                 at = to
             f.close()
+            release()
         if (h[1:] <= h[:-1]).any():
             raise ValueError("the frequent table is not sorted")
-        _FREQUENT[path] = (h, offsets, np.concatenate(flat))
+        _FREQUENT[path] = (h, offsets, flat[: offsets[-1]])
     return _FREQUENT[path]
 
 
@@ -355,10 +368,10 @@ def _taken(index: np.ndarray, offsets: np.ndarray, flat: np.ndarray) -> tuple[np
     return flat[np.repeat(at - (to - n), n) + np.arange(int(n.sum()))], n
 
 
-def _encoded(texts: pa.Array, given: dict[str, list[int]], path: str, model: str) -> tuple[pa.Array, list[list[str] | None]]:
+def _encoded(texts: pa.Array, given: dict[str, list[int]], path: str, model: str, kinds: np.ndarray | None = None) -> tuple[pa.Array, list[list[str] | None]]:
     """Ids of texts (null where a word is neither in the table nor given), and the words that such a text lacks."""
     h, offsets, flat = _frequent(path)
-    words, ends = cut_words(signed(texts), model)
+    words, ends = cut_words(signed(texts), model, kinds)
     coded = words.dictionary_encode()
     asked, which = hashes(coded.dictionary), np.asarray(coded.indices, np.int64)
     at = np.minimum(np.searchsorted(h, asked), max(len(h) - 1, 0))
@@ -452,27 +465,32 @@ def encode(spark: SparkSession, docs: DataFrame, keep: list[str], text_col: str
         got = _digest(texts, lists, model)
         return pa.RecordBatch.from_arrays([*cols, *(pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_())))], names=out.names)
 
+    kinds = lead_classes(model)
+
     def encoded(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+        alone(__name__)
         for b in batches:
             at = 0
-            for g in groups(b.column(1), GROUP):
+            for g in groups(b.column(1), SLICE):
                 part = b.slice(at, len(g))
                 at += len(g)
                 given = {x["w"]: x["ids"] for own in part.column(2).to_pylist() for x in own} if part.num_columns > 2 else {}
-                lists, lacks = _encoded(g, given, path, model)
+                lists, lacks = _encoded(g, given, path, model, kinds)
                 if last:
                     yield finished(part.column(0), g, lists)
                 else:
                     yield pa.RecordBatch.from_arrays([part.column(0), lists, g, pa.array(lacks, pa.list_(pa.string()))], names=["row", "ids", "text", "lost"])
+                del lists, lacks, given, part
+                release()
 
     if complete:
-        return rows.mapInArrow(lambda b: encoded(b, True), out)
+        return rows.mapInArrow(tidy(lambda b: encoded(b, True)), out)
     kind = T.StructType([schema[0], ids, T.StructField("text", T.StringType()), T.StructField("lost", T.ArrayType(T.StringType()))])
-    first = stored(spark, rows.mapInArrow(lambda b: encoded(b, False), kind), "piece-first")
+    first = stored(spark, rows.mapInArrow(tidy(lambda b: encoded(b, False)), kind), "piece-first")
     rest = stored(spark, first.where("ids is null").withColumn("key", F.monotonically_increasing_id()), "piece-rest")  # from here on the keys are fixed
     gone = rest.select("key", F.explode("lost").alias("w")).join(known.select("w", F.col("ids").alias("own")), "w")
     gone = gone.groupBy("key").agg(F.collect_list(F.struct("w", F.col("own").alias("ids"))).alias("given"))
-    again = rest.join(gone, "key").select("row", "text", "given").mapInArrow(lambda b: encoded(b, True), out)
+    again = rest.join(gone, "key").select("row", "text", "given").mapInArrow(tidy(lambda b: encoded(b, True)), out)
     done = first.where("ids is not null").select("row", "text", "ids").mapInArrow(lambda batches: (finished(*b.columns) for b in batches), out)
     return done.unionByName(again)
 

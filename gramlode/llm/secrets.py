@@ -12,13 +12,12 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept_model, release, table, tidy
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fewest characters of a candidate; it is exposed at this many characters per token or fewer.
@@ -38,7 +37,7 @@ KINDS = ("assign", "access", "hex", "random")
 Span = tuple[int, int, str]
 
 
-@lru_cache(maxsize=4)
+@kept_model(4)
 def encoding(vocabulary: str):
     """The tiktoken encoding of a vocabulary file, given by its name in the public tokenizers or by its path."""
     import os
@@ -159,6 +158,7 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary: s
     """
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
         for b in batches:
@@ -188,11 +188,14 @@ def masked(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY
             end = max(end, e)
         return "".join([*out, t[end:]]) if spans else t
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
         for b in batches:
             texts = pa.array([clean(t.as_py(), enc) for t in b.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
+            del texts
+            release()
 
     return docs.mapInArrow(run, docs.schema)
 

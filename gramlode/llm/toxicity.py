@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, release, table
+from .common import cut, release, table, tidy
 
 #: Letters that a sign may stand for.
 LOOKS = {
@@ -231,6 +231,7 @@ def _texts(column: pa.Array) -> Iterator[str]:
 def corpus_model(docs: DataFrame, text_col: str = "text") -> list[float]:
     """The character model of all documents: one count for each trigram and task leaves the executors, then the sums."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SYMBOLS**3, np.int64)
         for b in batches:
@@ -291,6 +292,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     rows = rows.withColumn("_h", F.xxhash64("text")).join(ids, ["doc_id", "_h"], "left_semi").select("toxic", "text")
     shared = spark.sparkContext.broadcast(lm)
 
+    @tidy
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore, seen = Restorer(shared.value), [Counter(), Counter()]
 
@@ -319,6 +321,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     names = [r.f for r in t.where("f <> ''").orderBy(chi.desc(), "f").limit(width).select("f").collect()]
     place = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
+    @tidy
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = place.value
         restore = Restorer(shared.value, frozenset(f.removeprefix("=")[:3] for f in at))
@@ -357,6 +360,7 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: list[s
         score = model.value.scorer()
         for b in batches:
             yield pa.array([score(t) for t in _texts(b)], pa.float64())
+        del score  # and the words it knows
         release()
 
     # only texts go to Python; the other columns wait beside them

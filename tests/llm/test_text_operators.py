@@ -617,3 +617,51 @@ def test_viterbi_equals_all_paths():
 def test_base_digests_are_stable(spark, odd):
     r = secrets.scan(odd.where("doc_id = 302"), ["doc_id"]).first()
     assert r.base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_what_workers_of_the_pipeline_hold(spark, tmp_path):
+    """Cutting loads no model once its classes are known, the frequent table is filled in place, an ended task's memory
+    is released when nothing holds it, and a task of one operator drops the models of another."""
+    import tracemalloc
+    import weakref
+
+    import pyarrow as pa
+
+    from gramlode.llm import common
+
+    kinds = pieces.lead_classes(pieces.MODEL)
+    for c in (pieces.lead_classes, pieces.pieces, pieces.processor):
+        c.cache_clear()
+    words, _ = pieces.cut_words(pieces.signed(pa.array(["two words"])), pieces.MODEL, kinds)
+    assert words.to_pylist() == [" two", " words"] and not pieces.processor.cache_info().currsize
+
+    n, k = 60_000, 40
+    path = f"file://{tmp_path}/frequent"
+    spark.range(n, numPartitions=1).selectExpr("id as h", f"if(id % 7 = 0, array(), transform(sequence(1, {k}), x -> cast((id + x) % 60000 as int))) as ids").write.parquet(path)
+    pieces._FREQUENT.clear()
+    tracemalloc.start()
+    h, offsets, flat = pieces._frequent(path)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pieces._FREQUENT.clear()
+    assert peak < 1.6 * (h.nbytes + offsets.nbytes + flat.nbytes)  # was over twice that
+    assert h.tolist() == list(range(n)) and len(flat) == offsets[-1] == k * sum(i % 7 > 0 for i in range(n))
+    assert flat[offsets[8] : offsets[9]].tolist() == [8 + x for x in range(1, k + 1)] and offsets[7] == offsets[8]
+
+    class Held:
+        pass
+
+    seen = []
+
+    def run(batches):
+        own = Held()
+        seen.append(weakref.ref(own))
+        yield from batches
+        assert own
+
+    assert list(common.tidy(run)([1, 2])) == [1, 2] and seen[0]() is None
+    secrets.encoding(secrets.VOCABULARY)
+    common.alone(secrets.__name__)
+    assert secrets.encoding.cache_info().currsize
+    common.alone(pieces.__name__)
+    assert not secrets.encoding.cache_info().currsize
