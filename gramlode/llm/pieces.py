@@ -221,14 +221,17 @@ def _limit_tables(model: str) -> tuple[list[int], list[int], dict[str, int], int
 
 
 def constant(values: list[int]) -> Column:
-    """A constant array of ints, handed to the JVM as bytes, so that the driver neither parses nor copies long text."""
+    """A constant array of ints, handed to the JVM as bytes and kept there as one block: a plan that holds it is printed
+    again and again, and numbers that stand alone would be spelled out each time."""
     from pyspark import SparkContext
     from pyspark.sql.classic.column import Column as Classic
 
     jvm = SparkContext._jvm
     array = SparkContext._gateway.new_array(jvm.int, len(values))
     jvm.java.nio.ByteBuffer.wrap(bytearray(np.array(values, ">i4").tobytes())).asIntBuffer().get(array)
-    return Classic(jvm.org.apache.spark.sql.functions.lit(array))
+    block = jvm.org.apache.spark.sql.catalyst.expressions.UnsafeArrayData.fromPrimitiveArray(array)
+    kind = jvm.org.apache.spark.sql.types.ArrayType(jvm.org.apache.spark.sql.types.DataType.fromDDL("int"), False)
+    return Classic(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(jvm.org.apache.spark.sql.catalyst.expressions.Literal(block, kind)))
 
 
 def let(value: Column, body) -> Column:

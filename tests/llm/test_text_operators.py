@@ -665,3 +665,10 @@ def test_what_workers_of_the_pipeline_hold(spark, tmp_path):
     assert secrets.encoding.cache_info().currsize
     common.alone(pieces.__name__)
     assert not secrets.encoding.cache_info().currsize
+
+
+def test_the_limits_are_not_spelled_out_in_plans(spark):
+    values = [-1, pieces.NEVER, *range(100_000)]
+    d = spark.range(4).select(F.get(pieces.constant(values), F.col("id").cast("int")).alias("x"))
+    assert [r.x for r in d.collect()] == [-1, pieces.NEVER, 0, 1]
+    assert len(d._jdf.queryExecution().toString()) < 5000
