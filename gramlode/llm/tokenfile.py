@@ -53,7 +53,8 @@ class Encoder:
     tokenizer, without normalizer and byte-level rule, takes them as bare words; every word ends in a piece with the
     end-of-word mark, which parts them again. A last comma or full stop behind such a letter is a run of its own, so
     pieces share the ids of their stems. All other pieces go to the library as they are, many at a time with a special
-    token between them. Beyond a bound only the pieces of recent calls are remembered.
+    token between them. Pieces are remembered in two tables: beyond a bound the newer one becomes the older, whose pieces
+    move on when they are asked for again; so a full encoder looks up no more than the pieces of the call.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -65,7 +66,7 @@ class Encoder:
         self.library, self.lean = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.lean.normalizer, self.lean.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.known: dict[str, bytes] = {}
-        self.recent: list[list[str]] = []
+        self.older: dict[str, bytes] = {}
         added = self.library.get_added_tokens_decoder()
         self.mark_id, self.mark = next(((i, t.content) for i, t in added.items() if t.special), (-1, ""))
         self.first = {t.content[:1] for t in added.values()}
@@ -137,10 +138,17 @@ class Encoder:
         coded = pieces.flatten().dictionary_encode()
         used = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > MAX_CACHE:
-            self.known = {p: self.known[p] for s in self.recent for p in s if p in self.known and len(p) <= 64}
-        self.recent = [*self.recent[-3:], used]
-        self._learn([p for p in used if p not in self.known])
-        ids = pa.array(list(map(self.known.__getitem__, used)), pa.large_binary()).take(coded.indices)
+            self.older = {p: x for p, x in self.known.items() if len(p) <= 64}
+            self.known = {}
+        own = list(map(self.known.get, used))
+        lost = [k for k, x in enumerate(own) if x is None]
+        if lost and self.older:
+            again = [used[k] for k in lost]
+            self.known.update((p, x) for p, x in zip(again, map(self.older.get, again), strict=True) if x is not None)
+        self._learn([used[k] for k in lost if used[k] not in self.known])
+        for k in lost:
+            own[k] = self.known[used[k]]
+        ids = pa.array(own, pa.large_binary()).take(coded.indices)
         ends = np.append(0, np.cumsum(np.asarray(pc.binary_length(ids), np.int64)))
         at = ends[np.asarray(pieces.offsets) - pieces.offsets[0].as_py()]
         raw = memoryview(ids.buffers()[2] or b"")

@@ -460,6 +460,34 @@ def test_tasks_of_a_worker_share_an_encoder(monkeypatch):
     assert [again.encode(pa.array([t]))[0] for t in texts * 2] == want * 2 and len(learned) > 100
 
 
+def test_a_full_encoder_looks_up_the_pieces_of_the_call_alone(monkeypatch):
+    import pyarrow as pa
+
+    looked = []
+
+    class Counted(dict):
+        def __contains__(self, k):
+            looked.append(k)
+            return super().__contains__(k)
+
+        def __getitem__(self, k):
+            looked.append(k)
+            return super().__getitem__(k)
+
+        def get(self, k, *default):
+            looked.append(k)
+            return super().get(k, *default)
+
+    monkeypatch.setattr(tokenfile, "MAX_CACHE", 100)
+    e = tokenfile.Encoder(tokenfile.VOCABULARY)
+    for i in range(3):
+        e.encode(pa.array([" ".join(f"piece{i}x{k}" for k in range(40))]))
+    e.known = Counted(e.known)
+    texts = ["piece0x1 other", "piece2x3 piece0x1"]
+    assert [e.encode(pa.array([t])) for t in texts] == [[want_of(e, t)] for t in texts]
+    assert set(looked) <= {"piece0x1", "other", "piece2x3"} and len(looked) < 20
+
+
 def test_token_files_of_long_documents_share_a_dictionary(spark):
     d = spark.createDataFrame([(1, "some words again " * 3000), (1, "some words again " * 3000)], "doc_id long, text string")
     shards = tokenfile.write(spark, d, fresh_path(spark, "t"))
