@@ -100,6 +100,16 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return whole
 
 
+def emptied(spark: SparkSession) -> None:
+    """The executors' JVMs give back to the system what jobs have left in them. Their collectors let a heap grow to its bound
+    before they collect it all, and do not count what stands beside it: buffers, which garbage keeps, and Python workers.
+
+    A task for each core, as tasks go round the executors; requests that an executor gets at once are one collection.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 #: Models that a worker loads once and keeps, by the module that loads them.
 _MODELS: dict[str, list] = {}
 

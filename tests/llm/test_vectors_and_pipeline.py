@@ -82,3 +82,17 @@ def test_run_equals_its_stages_by_brute_force(spark, odd, tmp_path):
         ids = sp.encode(t or "")
         want[i, len(ids), tuple(ids)] += copies[i]
     assert got == +want and all(500 > i or i >= 700 for i, _, _ in got)
+
+
+def test_stages_leave_executors_heaps_empty(spark):
+    import gc
+
+    jvm, docs = spark._jvm, spark.range(3)
+    old = spark._sc._gateway.new_array(jvm.byte, 32 << 20)  # so large that only a collection of the whole heap is sure to find it
+    cleared = jvm.java.lang.ref.WeakReference(old)
+    del old
+    gc.collect()  # and with it what keeps it on this side
+    before = sum(x.getCollectionCount() for x in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    assert corpus_pipeline.batched(lambda s, d, sf_dir: d)(spark, docs, "").count() == 3
+    assert sum(x.getCollectionCount() for x in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()) > before
+    assert cleared.get() is None
